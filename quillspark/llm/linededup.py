@@ -32,38 +32,39 @@ def named(runs: DataFrame, by: list[str]) -> DataFrame:
     The places of a run are counted by a grouping that sums up before it shuffles, and joined back, so that
     no task has to hold all the places of a frequent run.
     """
-    place = F.struct("doc_id", "row", "n")
+    place = F.struct("doc_id", "_row", "n")
     first = runs.groupBy(*by).agg(F.min(place).alias("name"), F.max(place).alias("last")).where("name != last").drop("last")
-    return runs.join(first, by).select("doc_id", "row", "n", "name")
+    return runs.join(first, by).select("doc_id", "_row", "n", "name")
 
 
 def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
     """doc_id, row, n of the first lines of windows of min_lines lines that occur earlier."""
     line = F.col("line")
-    each = docs.select("doc_id", row_key().alias("row"), F.posexplode(lines_of(F.col("text"))).alias("n", "line"))
-    ids = each.where(line.rlike(WORD)).select("doc_id", "row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"))
+    each = docs.select("doc_id", row_key().alias("_row"), F.posexplode(lines_of(F.col("text"))).alias("n", "line"))
+    ids = each.where(line.rlike(WORD)).select("doc_id", "_row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"))
     runs, length = named(ids, ["one", "two"]), 1
     while length < min_lines:
         step = min(length, min_lines - length)
-        halves = runs.select("doc_id", "row", (F.col("n") - step).alias("n"), F.col("name").alias("second"))
-        both = runs.withColumnRenamed("name", "first").alias("a").join(halves.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row") == F.col("b.row")) & (F.col("a.n") == F.col("b.n")))
-        runs, length = named(both.select("a.doc_id", "a.row", "a.n", "first", "second"), ["first", "second"]), length + step
-    return runs.where(F.struct("doc_id", "row", "n") != F.col("name")).select("doc_id", "row", "n")
+        halves = runs.select("doc_id", "_row", (F.col("n") - step).alias("n"), F.col("name").alias("second"))
+        both = runs.withColumnRenamed("name", "first").alias("a").join(halves.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._row") == F.col("b._row")) & (F.col("a.n") == F.col("b.n")))
+        runs, length = named(both.select("a.doc_id", "a._row", "a.n", "first", "second"), ["first", "second"]), length + step
+    return runs.where(F.struct("doc_id", "_row", "n") != F.col("name")).select("doc_id", "_row", "n")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """docs with text as what is kept, and n_lines, n_removed and n_runs (maximal deleted runs)."""
-    gone = later_copies(docs, min_lines).groupBy("doc_id", "row").agg(F.collect_set("n").alias("starts"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda n: F.sequence(n, n + min_lines - 1))))).alias("gone"))
-    found = docs.withColumn("row", row_key())
-    found = found.join(gone, found["doc_id"].eqNullSafe(gone["gone_id"]) & (found["row"] == gone["gone_row"]), "left")
+    gone = later_copies(docs, min_lines).groupBy("doc_id", "_row").agg(F.collect_set("n").alias("starts"))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda n: F.sequence(n, n + min_lines - 1))))).alias("_gone"))
+    names = docs.columns
+    found = docs.withColumn("_row", row_key())
+    found = found.join(gone, found["doc_id"].eqNullSafe(gone["_gone_id"]) & (found["_row"] == gone["_gone_row"]), "left")
     lines = lines_of(F.col("text"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i)), "\n")
-    found = found.withColumn("lines", lines)
-    runs = F.size(F.filter("gone", lambda n, i: F.coalesce(F.get("gone", i - 1) != n - 1, F.lit(True))))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i)), "\n")
+    found = found.withColumn("_lines", lines)
+    runs = F.size(F.filter("_gone", lambda n, i: F.coalesce(F.get("_gone", i - 1) != n - 1, F.lit(True))))
     return found.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("lines").cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), 0).otherwise(runs).cast("long").alias("n_runs"),
+        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names if c not in ("n_lines", "n_removed", "n_runs")],
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(runs).cast("long").alias("n_runs"),
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, ngramlm, packing, qualityrules, sharding, tokenfiles, transducer
+from . import linededup, ngramjoin, ngramlm, packing, qualityrules, sharding, suffixdedup, tokenfiles, transducer, vectorsearch
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -36,6 +36,11 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlm.scores(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_components(table(spark, sf_dir, "documents"))
+
+
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectorsearch.neighbours(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
