@@ -12,8 +12,8 @@ with each other to know their component; pairs that are still apart follow, roun
 each component and, at last, each pair whose components still differ. So a large group of near copies costs as
 many pairs as it has members, and no link is lost.
 
-Null texts and texts without words have no shingles and link with nothing. Rows with the same doc_id are one node;
-rows with a null doc_id get their size and no component. An empty table gives no rows.
+Null texts and texts without words have no shingles and link with nothing. Rows with the same doc_id are one document
+with the shingles of all of them; rows with a null doc_id take no part and get 0 and null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -84,21 +84,24 @@ def shared_sets(blocks: DataFrame, least: float, n: int) -> DataFrame:
         raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in group["shingles"]]).reshape(-1, 6)
         code = np.zeros((len(raw), 8), np.uint8)
         code[:, :6] = raw
-        bucket = _U(group["bucket"][0].as_py())
         code = code.view(np.uint64).ravel()
-        order = np.argsort(code, kind="stable")
-        s = code[order]
-        same = np.zeros(len(s) + 1, bool)
-        same[1:-1] = s[1:] == s[:-1]
-        common = np.zeros(len(s), bool)
-        common[order] = same[1:] | same[:-1]
-        code = mix(code * _U(1 << 16) + bucket)
-        node = np.repeat(np.arange(len(docs)), sizes)
+        docs, which = np.unique(docs, return_inverse=True)
+        node = np.repeat(which, sizes)
+        order = np.lexsort((node, code))
+        code, node = code[order], node[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (node[1:] != node[:-1])
+        code, node = code[new], node[new]
+        same = np.zeros(len(code) + 1, bool)
+        same[1:-1] = code[1:] == code[:-1]
+        common = same[1:] | same[:-1]
+        sizes = np.bincount(node, minlength=len(docs))
+        order = np.argsort(node[common], kind="stable")
+        held = mix(code[common][order] * _U(1 << 16) + _U(group["bucket"][0].as_py()))
         shared = np.bincount(node[common], minlength=len(docs))
         part = (mix(docs.astype(np.uint64)) % _U(n)).astype(np.int64)
         turn = np.argsort(part, kind="stable")
         at = np.searchsorted(part[turn], np.arange(n + 1))
-        held = code[common]
         first = np.concatenate([[0], np.cumsum(shared)])[:-1]
         out = []
         for p in range(n):

@@ -8,7 +8,7 @@ is merge-scanned against the levels there are, and joins them; levels of equal s
 log n levels.
 
 A match at an anchor is settled by a hash of all bytes that windows with the anchor may hold. Where that differs
-but the first bytes agree, a match ends nearby: there the windows themselves are compared, by two hashes. Of strings
+but the first bytes agree, a match ends nearby: there the windows of that anchor are compared themselves. Of strings
 that occur often in a batch one is sent on, with a mark that it repeats, so frequent ones don't pile up.
 
 Null texts are empty. Rows equal in doc_id and text are documents of their own, so what they hold repeats. A null
@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngramlm import DOCS, GROUP
-from .shared import buckets, chunks, mix, prefix_hash, ragged, span_hash, text_bytes, written
+from .shared import buckets, chunks, mix, prefix_hash, span_hash, text_bytes, written
 
 _U = np.uint64
 KEYS = "deal int, source long, one binary, two binary, row binary, pos binary, many binary"
 MARKS = "deal int, source long, row binary, pos binary, mark binary"
-SPANS = "doc_id long, row long, spans binary, probes binary"
+SPANS = "doc_id long, row long, spans binary, near binary"
 #: Marks of a place: its string occurs elsewhere; only its first bytes do.
 SAME, NEAR = 1, 2
 
@@ -48,20 +48,25 @@ def sliding(x: np.ndarray, width: int, f: np.ufunc, fill: int) -> np.ndarray:
     return f(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the row, hash of the seed bytes there, and hash of all bytes of windows that hold them."""
-    n, width = len(data), size - seed + 1
-    if n < size:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+def sampled(data: np.ndarray, offsets: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Prefix sums, hashes of all seed-byte strings, their order, and of each window the least order in it; 0 where
+    a window reaches over the end of its row."""
     prefix = prefix_hash(data)
-    start = np.arange(n - seed + 1)
+    start = np.arange(len(data) - seed + 1)
     code = span_hash(prefix, start, start + seed)
     order = (code >> _U(32)).astype(np.uint32) | np.uint32(1)
-    least = sliding(order, width, np.minimum, 2**32 - 1)
-    # windows that reach over the end of their row select nothing
+    least = sliding(order, size - seed + 1, np.minimum, 2**32 - 1)
     row_end = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
     least[start + size > row_end] = 0
-    most = sliding(least[::-1], width, np.maximum, 0)[::-1]
+    return prefix, code, order, least
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Row, place in the row, hash of the seed bytes there, and hash of all bytes of windows that hold them."""
+    if len(data) < size:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    prefix, code, order, least = sampled(data, offsets, size, seed)
+    most = sliding(least[::-1], size - seed + 1, np.maximum, 0)[::-1]
     at = np.flatnonzero(most == order)
     row = np.searchsorted(offsets, at, "right") - 1
     low, high = np.maximum(offsets[row], at - (size - seed)), np.minimum(offsets[row + 1], at + size)
@@ -69,6 +74,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int, seed: int) -> tupl
     return row, at - offsets[row], code[at], context
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, near: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Row, place, least order and hash of the windows whose least string is at one of the places near."""
+    if len(data) < size or not len(near):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    prefix, _, order, least = sampled(data, offsets, size, seed)
+    asked = np.full(len(order), 2**32 - 1, np.uint32)
+    asked[near] = order[near]
+    at = np.flatnonzero(sliding(asked, size - seed + 1, np.minimum, 2**32 - 1) == least)
+    row = np.searchsorted(offsets, at, "right") - 1
+    return row, at - offsets[row], least[at].astype(np.uint64), span_hash(prefix, at, at + size)
+
+
 class Levels:
     """The family of sorted arrays of one part of the index."""
 
@@ -112,7 +129,11 @@ class Levels:
 
 
 def batch_rows(source: int, n: int, row: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-    """The different pairs of keys of a batch, by bucket, and which places repeat another of the batch."""
+    """The different pairs of keys of a batch, by bucket, and which places repeat another of the batch.
+
+    In a bucket they go by place, and a place is told by its distance from the one before, so that first keys and
+    places of neighbours compress to little.
+    """
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
     new = np.ones(len(a), bool)
@@ -123,14 +144,14 @@ def batch_rows(source: int, n: int, row: np.ndarray, pos: np.ndarray, one: np.nd
     repeated[order] = np.repeat(count > 1, count)
     send = order[head]
     bucket = (one[send] % _U(n)).astype(np.int64)
-    turn = np.argsort(bucket, kind="stable")
+    turn = np.lexsort((pos[send], row[send], bucket))
     at = np.searchsorted(bucket[turn], np.arange(n + 1))
     out = []
     for k in range(n):
         i = turn[at[k] : at[k + 1]]
         if len(i):
             s = send[i]
-            out.append((k, source, one[s].tobytes(), two[s].tobytes(), row[s].astype(np.uint16).tobytes(), pos[s].astype(np.uint32).tobytes(), (count[i] > 1).tobytes()))
+            out.append((k, source, one[s].tobytes(), two[s].tobytes(), row[s].astype(np.uint16).tobytes(), np.diff(pos[s], prepend=0).astype(np.uint32).tobytes(), (count[i] > 1).tobytes()))
     return out, repeated
 
 
@@ -140,8 +161,9 @@ def record(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], [n for n, _ in fields])
 
 
-def meet(group: pa.Table) -> pa.Table:
-    """Marks of the places of one bucket. Rows that only belong to their source go through."""
+def meet(group: pa.Table, ends: bool) -> pa.Table:
+    """Marks of the places of one bucket; ends: also of those whose first key alone is found. Rows that only belong
+    to their source go through."""
     deal = group["deal"].to_pylist()
     cells = [group[c].to_pylist() for c in ("source", "one", "two", "row", "pos", "many")]
     if deal[0] < 0:
@@ -155,11 +177,11 @@ def meet(group: pa.Table) -> pa.Table:
         index.add(np.frombuffer(cells[1][i], np.uint64), np.frombuffer(cells[2][i], np.uint64), number)
     out, at = [], 0
     for i, size in zip(order, sizes, strict=True):
-        mark = index.same[at : at + size] * SAME + index.near[at : at + size] * NEAR
+        mark = index.same[at : at + size] * SAME + (index.near[at : at + size] * NEAR if ends else 0)
         at += size
         good = mark > 0
         if good.any():
-            out.append((0, cells[0][i], np.frombuffer(cells[3][i], np.uint16)[good].tobytes(), np.frombuffer(cells[4][i], np.uint32)[good].tobytes(), mark[good].astype(np.uint8).tobytes()))
+            out.append((0, cells[0][i], np.frombuffer(cells[3][i], np.uint16)[good].tobytes(), np.cumsum(np.frombuffer(cells[4][i], np.uint32), dtype=np.uint32)[good].tobytes(), mark[good].astype(np.uint8).tobytes()))
     return pa.Table.from_batches([record(out, MARKS)])
 
 
@@ -177,13 +199,13 @@ def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def by_row(row: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[bytes | None]:
     """For each row the union of its intervals as pairs of longs."""
+    return [np.column_stack(runs(start[i], end[i])).astype(np.int64).tobytes() if len(i) else None for i in of_rows(row, n)]
+
+
+def of_rows(row: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n rows where it stands in row."""
     order = np.argsort(row, kind="stable")
-    at = np.searchsorted(row[order], np.arange(n + 1))
-    out: list[bytes | None] = [None] * n
-    for i in np.flatnonzero(np.diff(at)).tolist():
-        mine = order[at[i] : at[i + 1]]
-        out[i] = np.column_stack(runs(start[mine], end[mine])).astype(np.int64).tobytes()
-    return out
+    return np.split(order, np.searchsorted(row[order], np.arange(1, n)))
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -200,8 +222,8 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def settled(docs: DataFrame, size: int, keys, seed: int, n: int) -> DataFrame:
-    """doc_id, row, spans and probes: for each document the windows (starts from, to) that occur elsewhere, and those
-    that are still to be compared. keys(table, data, offsets) gives row, pos and two keys of each place."""
+    """doc_id, row, spans and near: for each document the windows (starts from, to) that occur elsewhere, and where a
+    match ends. keys(table, data, offsets) gives row, pos and two keys of each place; seed is its length."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -243,11 +265,12 @@ def settled(docs: DataFrame, size: int, keys, seed: int, n: int) -> DataFrame:
         kept = np.concatenate([np.zeros((0, 2), np.int64), *before])
         owner = np.repeat(np.arange(len(before)), [len(b) for b in before])
         spans = by_row(np.concatenate([owner, row[same]]), np.concatenate([kept[:, 0], low[same]]), np.concatenate([kept[:, 1], high[same]]), len(before))
-        probes = by_row(row[near], low[near], high[near], len(before))
-        found = pa.table([about["doc_id"], about["row"], pa.array(spans, pa.binary()), pa.array(probes, pa.binary())], names=["doc_id", "row", "spans", "probes"])
-        return found.filter(pa.compute.or_(pa.compute.is_valid(found["spans"]), pa.compute.is_valid(found["probes"])))
+        places = pos[near]
+        ends = [np.sort(places[i]).tobytes() if len(i) else None for i in of_rows(row[near], len(before))]
+        found = pa.table([about["doc_id"], about["row"], pa.array(spans, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "row", "spans", "near"])
+        return found.filter(pa.compute.or_(pa.compute.is_valid(found["spans"]), pa.compute.is_valid(found["near"])))
 
-    rows = docs.mapInArrow(send, KEYS).groupBy("deal").applyInArrow(meet, MARKS)
+    rows = docs.mapInArrow(send, KEYS).groupBy("deal").applyInArrow(lambda t: meet(t, seed < size), MARKS)
     return rows.groupBy("source").applyInArrow(back, SPANS)
 
 
@@ -290,33 +313,33 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def each(offsets: np.ndarray, f) -> tuple[np.ndarray, ...]:
+    """f(i, j) over runs of rows [i, j) of some hundred KB; its first result counts rows from i."""
+    out = [f(i, j) for i, j in chunks(offsets, 1 << 18)]
+    rows = [o[0] + i for o, (i, _) in zip(out, chunks(offsets, 1 << 18), strict=True)]
+    return np.concatenate(rows), *(np.concatenate(c) for c in list(zip(*out, strict=True))[1:])
+
+
 def dedup_bytes(docs: DataFrame, size: int = 200) -> DataFrame:
     """docs with text as what is left after removing each byte that a repeated string of size bytes covers."""
     n, seed = 2 * buckets(docs.sparkSession), size // 2
     rows = docs.select("doc_id", row_key().alias("row"), "text")
 
-    def sampled(_: pa.Table, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        out = []
-        for i, j in chunks(offsets, 1 << 18):
-            a, b = offsets[i], offsets[j]
-            row, pos, one, two = anchors(data[a:b], offsets[i : j + 1] - a, size, seed)
-            out.append((row + i, pos, one, two))
-        return tuple(map(np.concatenate, zip(*out, strict=True)))
-
-    first = written(settled(rows, size, sampled, seed, n), "matches")
-
-    def windows(t: pa.Table, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2]
-        for i, probes in enumerate(t["probes"].to_pylist()):
-            at = np.frombuffer(probes, np.int64).reshape(-1, 2)
-            for a, b in at.tolist():  # each run of windows on its own: few bytes are hashed
-                part = data[offsets[i] + a : offsets[i] + b + size - 1]
-                pos = np.arange(b - a)
-                out.append((np.full(b - a, i), pos + a, *(span_hash(prefix_hash(part, s), pos, pos + size) for s in (7, 11))))
-        return tuple(map(np.concatenate, zip(*out, strict=True)))
-
-    asked = first.where("probes is not null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "probes")
+    def first_keys(_: pa.Table, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        return each(offsets, lambda i, j: anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size, seed))
+
+    def second_keys(t: pa.Table, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        near = [np.frombuffer(x, np.int64) for x in t["near"].to_pylist()]
+
+        def own(i: int, j: int) -> tuple[np.ndarray, ...]:
+            bounds = offsets[i : j + 1] - offsets[i]
+            return windows(data[offsets[i] : offsets[j]], bounds, np.concatenate([x + b for x, b in zip(near[i:j], bounds, strict=False)]), size, seed)
+
+        return each(offsets, own)
+
+    first = written(settled(rows, size, first_keys, seed, n), "matches")
+    asked = first.where("near is not null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "near")
     asked = asked.dropDuplicates(["_id", "_row"])
-    again = rows.join(asked, rows["doc_id"].eqNullSafe(asked["_id"]) & (rows["row"] == asked["_row"])).select("doc_id", "row", "text", "probes")
-    second = settled(again, size, windows, size, n)
+    again = rows.join(asked, rows["doc_id"].eqNullSafe(asked["_id"]) & (rows["row"] == asked["_row"])).select("doc_id", "row", "text", "near")
+    second = settled(again, size, second_keys, size, n)
     return cut(docs, first.select("doc_id", "row", "spans").union(second.select("doc_id", "row", "spans")), size)
