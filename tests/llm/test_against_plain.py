@@ -176,11 +176,11 @@ def test_rules_are_learned(spark, tiny):
 
 
 def test_join(docs, rows):
-    sets = []
+    held, ids = collections.defaultdict(set), [r[0] for r in rows]
     for r in rows:
         w = WORD.findall(low(r[1]))
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
-    ids = [r[0] for r in rows]
+        held[r[0]] |= {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    sets = [held[i] for i in ids]
     parent = {i: i for i in ids if i is not None}
 
     def root(x):
