@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngramlm import grouped
-from .shared import buckets, mix, ragged, words, written
+from .shared import buckets, hash_words, mix, ragged, spans, written
 
 _U = np.uint64
 BLOCKS = "bucket int, docs binary, row binary, sizes binary, shingles binary"
@@ -36,7 +36,8 @@ SETS = "doc_id long, n_shingles long, shingles binary"
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each row's different shingles of k words; a row of fewer words is one shingle."""
-    hashes, upto = words(data, offsets)
+    start, end, upto = spans(data, offsets)
+    hashes = hash_words(data, start, end)
     n = np.diff(upto)
     row = np.repeat(np.arange(len(n)), np.where(n >= k, n - k + 1, (n > 0).astype(int)))
     first = ragged(upto[:-1], np.where(n >= k, n - k + 1, (n > 0).astype(int)))

@@ -104,24 +104,32 @@ def chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all rows, in order, and the n+1 offsets of each row's words."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the n+1 offsets of each row's words."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = ~SPACE[data]
+    change = inside.copy()
+    change[1:] = inside[1:] & ~inside[:-1]
     firsts = offsets[:-1][np.diff(offsets) > 0]
-    before[firsts] = False
-    start = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[firsts[firsts > 0] - 1] = False
-    end = np.flatnonzero(inside & ~after) + 1
-    prefix = prefix_hash(LOWER[data] if lower else data)
-    return span_hash(prefix, start, end), np.searchsorted(start, offsets)
+    change[firsts] = inside[firsts]
+    start = np.flatnonzero(change)
+    stop = ~inside
+    stop[firsts] = True
+    stops = np.flatnonzero(stop)
+    end = stops[np.searchsorted(stops, start, "right")] if len(start) else start
+    return start, end, np.searchsorted(start, offsets)
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 1 << 19) -> np.ndarray:
+    """Hashes of words in lower case, by parts of about size bytes that bound the memory; spans are sorted."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + size)))
+        prefix = prefix_hash(LOWER[data[start[i] : end[j - 1]]])
+        out[i:j] = span_hash(prefix, start[i:j] - start[i], end[i:j] - start[i])
+        i = j
+    return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

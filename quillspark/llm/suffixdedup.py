@@ -26,10 +26,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngramlm import DOCS, GROUP
 from .shared import buckets, chunks, mix, prefix_hash, span_hash, text_bytes, written
 
 _U = np.uint64
+#: Bytes of text that a task gathers before it sends its keys on, and documents among them at most.
+GROUP, DOCS = 32 << 20, 65_000
 KEYS = "deal int, source long, one binary, two binary, row binary, pos binary, many binary"
 MARKS = "deal int, source long, row binary, pos binary, mark binary"
 SPANS = "doc_id long, row long, spans binary, near binary"
