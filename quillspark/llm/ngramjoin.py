@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngramlm import grouped
@@ -97,8 +97,12 @@ def shared_sets(blocks: DataFrame, least: float, n: int) -> DataFrame:
         same[1:-1] = code[1:] == code[:-1]
         common = same[1:] | same[:-1]
         sizes = np.bincount(node, minlength=len(docs))
+        # the number of a shingle begins with that of its documents, so that rare ones come first in order
+        head = np.flatnonzero(~same[:-1])
+        count = np.repeat(np.diff(np.append(head, len(code))), np.diff(np.append(head, len(code))))
+        rank = np.minimum(255, 8 * np.log2(np.maximum(count, 1))).astype(np.uint64)
         order = np.argsort(node[common], kind="stable")
-        held = mix(code[common][order] * _U(1 << 16) + _U(group["bucket"][0].as_py()))
+        held = mix(code[common][order] * _U(1 << 16) + _U(group["bucket"][0].as_py())) >> _U(8) | rank[common][order] << _U(56)
         shared = np.bincount(node[common], minlength=len(docs))
         part = (mix(docs.astype(np.uint64)) % _U(n)).astype(np.int64)
         turn = np.argsort(part, kind="stable")
@@ -151,22 +155,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def firsts(classes: DataFrame, percent: int) -> DataFrame:
-    """shingle, node, size of each class's first shingles: those that it has alone come first, then by hash. Two
-    classes that link share one among these."""
+    """shingle, node, size and place of each class's first shingles, rare ones first: those that it has alone, then by number.
+    Two classes that link share one among these."""
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, nodes, sizes = [], [], []
+            codes, nodes, sizes, places = [], [], [], []
             for node, size, raw in zip(batch["node"].to_pylist(), batch["size"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
                 own = np.frombuffer(raw, np.uint64)
-                most = size - -(-percent * size // 100) + 1 - (size - len(own))
-                own = np.sort(own)[: max(0, most)].view(np.int64)
+                alone = size - len(own)
+                own = np.sort(own)[: max(0, size - -(-percent * size // 100) + 1 - alone)].view(np.int64)
                 codes.append(own)
                 nodes.append(np.full(len(own), node))
                 sizes.append(np.full(len(own), size))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in (codes, nodes, sizes)], ["shingle", "node", "size"])
+                places.append(alone + np.arange(len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in (codes, nodes, sizes, places)], ["shingle", "node", "size", "place"])
 
-    return classes.select("node", "size", "shingles").mapInArrow(head, "shingle long, node long, size long")
+    return classes.select("node", "size", "shingles").mapInArrow(head, "shingle long, node long, size long, place long")
 
 
 def linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +201,14 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     heads = able.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("node"))
     member = written(able.join(heads, ["key", "n_shingles"]).select("doc_id", "node"), "members")
     classes = written(able.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "shingles"), "classes")
-    near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+
+    def near(a: str, b: str) -> Column:
+        """Whether two classes can overlap enough if this shingle is the first that they share: by their sizes, and by
+        what each has from here on."""
+        m, n = F.col(a.format("size")), F.col(b.format("size"))
+        rest = F.least(m - F.col(a.format("place")), n - F.col(b.format("place")))
+        return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * rest >= percent * (m + n))
+
     places = written(firsts(classes, percent), "firsts")
     places = written(places.join(places.groupBy("shingle").count().where("count > 1").select("shingle"), "shingle"), "shared")
 
@@ -206,9 +218,9 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     while True:
         now = places.join(state, "node")
         # of each shingle and component, the member with the smallest number; and of these the first
-        ends = now.groupBy("shingle", "component").agg(F.min(F.struct("node", "size")).alias("e"))
+        ends = now.groupBy("shingle", "component").agg(F.min(F.struct("node", "size", "place")).alias("e"))
         head = ends.groupBy("shingle").agg(F.min("e").alias("h"), F.count("*").alias("c")).where("c > 1")
-        pairs = ends.join(head, "shingle").where(F.col("e.node") != F.col("h.node")).where(near(F.col("e.size"), F.col("h.size")))
+        pairs = ends.join(head, "shingle").where(F.col("e.node") != F.col("h.node")).where(near("e.{}", "h.{}"))
         pairs = pairs.select(F.col("h.node").alias("a"), F.col("e.node").alias("b")).distinct()
         if last is not None:
             pairs = pairs.join(last, ["a", "b"], "left_anti")
@@ -220,8 +232,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         links = found if links is None else links.union(found)
         state = written(components(classes.select("node"), links), "state")
     now = places.join(state, "node")
-    one, two = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "component")]) for x in "ab")
-    rest = one.join(two, "shingle").where("node_a < node_b and component_a != component_b").where(near(F.col("size_a"), F.col("size_b")))
+    one, two = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "place", "component")]) for x in "ab")
+    rest = one.join(two, "shingle").where("node_a < node_b and component_a != component_b").where(near("{}_a", "{}_b"))
     rest = written(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rest")
     found = written(linked(rest, classes, percent), "found")
     if found.limit(1).count():
