@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.operators import documents, review
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return review.QUERIES | documents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return review.SQL | documents.SQL
