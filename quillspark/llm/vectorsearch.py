@@ -17,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ragged
 
 #: Vectors for learning, and queries sent to the tasks at once.
-SAMPLE, QUERIES = 20_000, 4096
+SAMPLE, QUERIES = 10_000, 4096
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -49,7 +50,7 @@ def fit(x: np.ndarray, k: int, part: int = 8, steps: int = 30, tried: int = 300)
     """Principal directions of unit vectors, rotated step by step towards the corners of the cube."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = unit.mean(0)
-    _, _, axes = np.linalg.svd(unit - mean, full_matrices=True)
+    axes = np.linalg.eigh((unit - mean).T @ (unit - mean))[1].T[::-1]
     bits = min(64, -(-x.shape[1] // part) * part)
     flat = np.zeros((x.shape[1], bits))
     use = min(bits, x.shape[1])
@@ -64,7 +65,8 @@ def fit(x: np.ndarray, k: int, part: int = 8, steps: int = 30, tried: int = 300)
     codes = code.of(x)
     near = unit[some] @ unit.T
     near[np.arange(len(some)), some] = -2
-    best = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
+    k = min(k, len(x) - 1)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(some), 0), np.int64)
     apart = np.bitwise_count(codes[some][:, None] ^ codes[best]).sum(2).ravel()
     if len(apart):
         code.radius = int(np.quantile(apart, 0.995))
@@ -108,9 +110,10 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = sample["embedding"].to_pylist()
-    size = max({len(v) for v in vectors}, key=[len(v) for v in vectors].count)
-    code = fit(np.array([v for v in vectors if len(v) == size]), k)
+    vectors = sample["embedding"].combine_chunks()
+    sizes = pa.compute.list_value_length(vectors)
+    size = int(np.bincount(sizes.to_numpy()).argmax())
+    code = fit(matrix(vectors.filter(pa.compute.equal(sizes, size))), k)
     base = base.where(F.size("embedding") == size)
     asked = usable(queries).where(F.size("embedding") == size).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // QUERIES))
