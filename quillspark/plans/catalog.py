@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import documents, review
+from quillspark.operators import documents, packets, review
+from quillspark.sinks import exports
+from quillspark.sources import web
+from quillspark.streaming import activity
+
+MODULES = (review, documents, packets, web, exports, activity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return review.QUERIES | documents.QUERIES
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return review.SQL | documents.SQL
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
