@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import documents, packets, progress, review
+from quillspark.operators import documents, packets, progress, review, rules, structure
 from quillspark.sinks import exports
 from quillspark.sources import web
 from quillspark.streaming import activity
 
-MODULES = (review, documents, packets, progress, web, exports, activity)
+MODULES = (review, documents, packets, progress, structure, rules, web, exports, activity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
