@@ -15,7 +15,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS = "runs AS (SELECT l_orderkey, l_linenumber, l_partkey % 5 AS model, l_quantity::DECIMAL(18,2) AS tokens, l_extendedprice::DECIMAL(18,2) AS cost, l_linestatus = 'F' AS succeeded, l_shipdate::DATE AS day, o_custkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-USAGE = "count(*) AS run_count, count_if(succeeded) AS succeeded_count, sum(tokens)::DOUBLE AS tokens, sum(cost)::DOUBLE AS cost"
+USAGE = "count(*) AS run_count, count(*) FILTER (succeeded) AS succeeded_count, sum(tokens)::DOUBLE AS tokens, sum(cost)::DOUBLE AS cost"
 
 
 def usage() -> list:
@@ -210,7 +210,7 @@ SQL = {
     "repeated_edge_text": f"WITH {BLOCKS}, e AS (SELECT doc_id, arg_min(block_text, ordinal) AS header, arg_max(block_text, ordinal) AS footer FROM blocks GROUP BY doc_id), s AS (SELECT 'header' AS zone, header AS line FROM e UNION ALL SELECT 'footer', footer FROM e) SELECT zone, md5(regexp_replace(line, '[0-9]+', '#', 'g')) AS signature, count(*) AS document_count FROM s GROUP BY ALL HAVING count(*) >= 2",
     "exact_duplicate_documents": "WITH s AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(lower(regexp_replace(text, '[ \t\n]+', ' ', 'g')))) AS first_doc_id FROM documents WHERE text IS NOT NULL) SELECT * FROM s WHERE doc_id != first_doc_id",
     "stable_ids": f"WITH r AS (SELECT doc_id, {_SHA} AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', ('0x' || h[17:17])::INT + 1, 1) || h[18:20] || '-' || h[21:32] AS stable_id FROM r",
-    "term_containment": f"WITH {BLOCKS} SELECT term, target, count(*) AS block_count, count_if(contains(lower(block_text), target)) AS with_target FROM blocks JOIN (VALUES {', '.join(map(str, TERMS))}) t(term, target) ON contains(lower(block_text), term) GROUP BY ALL",
+    "term_containment": f"WITH {BLOCKS} SELECT term, target, count(*) AS block_count, count(*) FILTER (contains(lower(block_text), target)) AS with_target FROM blocks JOIN (VALUES {', '.join(map(str, TERMS))}) t(term, target) ON contains(lower(block_text), term) GROUP BY ALL",
     "regex_rules": f"WITH {BLOCKS} SELECT rule, count(*) AS block_count, count(DISTINCT doc_id) AS document_count FROM blocks JOIN (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in RULES) + ") r(rule, pattern) ON regexp_matches(block_text, pattern) GROUP BY rule",
     "alignment_omission": "SELECT conv_id, turn FROM conversations s WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations t WHERE t.role = 'assistant' AND t.conv_id = s.conv_id AND t.turn = s.turn + 1)",
     "orphan_targets": "SELECT conv_id, turn FROM conversations t WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations s WHERE s.role = 'user' AND t.conv_id = s.conv_id AND t.turn = s.turn + 1)",

@@ -40,7 +40,7 @@ def status_counts() -> list[Column]:
     return [*[count_if(F.col("status") == s).alias(f"{s}_count") for s in ("open", "triaged", "resolved", "wontfix")], count_if(F.col("blocking")).alias("blocking_count")]
 
 
-STATUS_SQL = ", ".join([*[f"count_if(status = '{s}') AS {s}_count" for s in ("open", "triaged", "resolved", "wontfix")], "count_if(blocking) AS blocking_count"])
+STATUS_SQL = ", ".join([*[f"count(*) FILTER (status = '{s}') AS {s}_count" for s in ("open", "triaged", "resolved", "wontfix")], "count(*) FILTER (blocking) AS blocking_count"])
 
 
 def issue_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def chapter_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BREAKDOWN = f"""breakdown AS (SELECT chapter_id, issue_type, layer, count(*) AS issue_count, {STATUS_SQL},
- count_if(blocking AND status IN ('open', 'triaged')) AS active_blocking_count FROM issues GROUP BY ALL)"""
+ count(*) FILTER (blocking AND status IN ('open', 'triaged')) AS active_blocking_count FROM issues GROUP BY ALL)"""
 
 
 def heat(found: DataFrame) -> DataFrame:
@@ -200,9 +200,9 @@ SQL = {
     "chapter_breakdown": f"WITH {ISSUES}, {BREAKDOWN} SELECT * FROM breakdown",
     "chapter_heatmap": f"WITH {ISSUES}, {BREAKDOWN}, {HEAT} SELECT * FROM heat",
     "chapter_queue": f"WITH {ISSUES}, {BREAKDOWN}, {HEAT}, {QUEUE} SELECT * FROM queue",
-    "owner_workload": f"WITH {ISSUES}, {BREAKDOWN}, {HEAT}, {QUEUE} SELECT owner_id, count(*) AS chapter_count, " + ", ".join([f"count_if(priority = '{p}') AS {p}_count" for p in ("immediate", "high", "medium")] + [f"count_if(sla_state = '{s}') AS {s}_count" for s in ("fresh", "aging", "overdue")]) + ", sum(heat_score)::BIGINT AS heat_score, max(age_hours) AS oldest_hours FROM queue GROUP BY owner_id",
+    "owner_workload": f"WITH {ISSUES}, {BREAKDOWN}, {HEAT}, {QUEUE} SELECT owner_id, count(*) AS chapter_count, " + ", ".join([f"count(*) FILTER (priority = '{p}') AS {p}_count" for p in ("immediate", "high", "medium")] + [f"count(*) FILTER (sla_state = '{s}') AS {s}_count" for s in ("fresh", "aging", "overdue")]) + ", sum(heat_score)::BIGINT AS heat_score, max(age_hours) AS oldest_hours FROM queue GROUP BY owner_id",
     "worklist_counters": f"WITH {ISSUES}, {BREAKDOWN}, {HEAT}, {QUEUE} SELECT 'priority' AS kind, priority AS value, count(*) AS chapter_count FROM queue GROUP BY ALL UNION ALL SELECT 'sla', sla_state, count(*) FROM queue GROUP BY ALL",
-    "activity_timeline": f"""WITH {ISSUES}, days AS (SELECT day, count_if(what = 'created') AS created_count, count_if(what = 'resolved') AS resolved_count, count_if(what = 'wontfix') AS wontfix_count FROM (SELECT created_at::DATE AS day, 'created' AS what FROM issues UNION ALL SELECT updated_at::DATE, status FROM issues WHERE status IN ('resolved', 'wontfix')) GROUP BY day)
+    "activity_timeline": f"""WITH {ISSUES}, days AS (SELECT day, count(*) FILTER (what = 'created') AS created_count, count(*) FILTER (what = 'resolved') AS resolved_count, count(*) FILTER (what = 'wontfix') AS wontfix_count FROM (SELECT created_at::DATE AS day, 'created' AS what FROM issues UNION ALL SELECT updated_at::DATE, status FROM issues WHERE status IN ('resolved', 'wontfix')) GROUP BY day)
  SELECT *, created_count - resolved_count - wontfix_count AS net_delta, greatest(sum(created_count - resolved_count - wontfix_count) OVER (ORDER BY day), 0)::BIGINT AS open_running FROM days""",
     "failure_streaks": f"""WITH {ISSUES}, r AS (SELECT *, (status = 'resolved')::INT AS good, sum((status = 'resolved')::INT) OVER (PARTITION BY user_id ORDER BY created_at, issue_id ROWS UNBOUNDED PRECEDING) AS island FROM issues), i AS (SELECT user_id, island, sum(1 - good)::BIGINT AS n FROM r GROUP BY ALL)
  SELECT user_id, max(n) AS longest_streak, arg_max(n, island) AS last_streak FROM i GROUP BY user_id""",
@@ -214,6 +214,6 @@ SQL = {
     "issue_actions": f"WITH {ISSUES} SELECT issue_type, layer, blocking, CASE WHEN layer = 'packet' AND blocking THEN 'rebuild_packet' WHEN layer = 'packet' THEN 'rerun_packet' WHEN layer = 'segment' THEN 'resegment' WHEN layer = 'alignment' THEN 'realign' WHEN blocking THEN 'reparse_document' ELSE 'reparse_chapter' END AS action, count(*) AS issue_count FROM issues GROUP BY ALL",
     "merge_duplicate_issues": f"WITH {ISSUES} SELECT chapter_id, issue_type, layer, max(CASE WHEN blocking AND {_ACTIVE} THEN 3 WHEN blocking THEN 2 WHEN {_ACTIVE} THEN 1 ELSE 0 END) AS severity_rank, bool_or(blocking) AS blocking, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses, min(issue_id) AS first_issue_id FROM issues GROUP BY ALL",
     "incident_fingerprints": f"WITH {ISSUES} SELECT sha256(concat_ws('::', issue_type, layer, chapter_id)) AS fingerprint, count(*) AS failure_count, max(issue_id) AS latest_item_id FROM issues WHERE status != 'resolved' GROUP BY ALL",
-    "quality_summary": f"WITH {ISSUES} SELECT chapter_id, count(*) AS issue_count, count_if(status = 'resolved') AS resolved_count, " + ", ".join(f"NOT bool_or(layer = '{x}' AND {_ACTIVE}) AS {n}_ok" for x, n in (("packet", "coverage"), ("alignment", "alignment"), ("segment", "term"), ("structure", "format"))) + " FROM issues GROUP BY chapter_id",
+    "quality_summary": f"WITH {ISSUES} SELECT chapter_id, count(*) AS issue_count, count(*) FILTER (status = 'resolved') AS resolved_count, " + ", ".join(f"NOT bool_or(layer = '{x}' AND {_ACTIVE}) AS {n}_ok" for x, n in (("packet", "coverage"), ("alignment", "alignment"), ("segment", "term"), ("structure", "format"))) + " FROM issues GROUP BY chapter_id",
     "activity_by_family": f"WITH {ISSUES}, d AS (SELECT issue_type, created_at::DATE AS day, count(*) AS n FROM issues GROUP BY ALL) SELECT issue_type, count(*) AS day_count, sum(n)::BIGINT AS issue_count, arg_max(n, day) AS newest_count, string_agg(day::VARCHAR || ':' || n::VARCHAR, ',' ORDER BY day) AS timeline FROM d GROUP BY issue_type",
 }

@@ -237,23 +237,23 @@ SQL = {
     "regression_hints": f"""WITH {ISSUES}, d AS (SELECT issue_type, day, sum(n)::BIGINT AS net FROM (SELECT issue_type, created_at::DATE AS day, 1 AS n FROM issues UNION ALL SELECT issue_type, updated_at::DATE, -1 FROM issues WHERE status IN ('resolved', 'wontfix')) GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY issue_type ORDER BY day DESC) AS place FROM d QUALIFY place <= 3), f AS (SELECT issue_type, max(net) FILTER (place = 1) AS net, bool_or(net > 0) AND bool_or(net < 0) AS flapping FROM p GROUP BY issue_type)
 SELECT *, CASE WHEN net > 0 THEN 'regressing' WHEN net < 0 THEN 'resolving' ELSE 'steady' END AS hint FROM f""",
-    "proposal_states": f"WITH {ISSUES} SELECT chapter_id, user_id, issue_type, count_if(status = 'open') AS open_count, max(updated_at) FILTER (status = 'resolved') AS accepted_at FROM issues WHERE status IN ('open', 'resolved') GROUP BY ALL",
+    "proposal_states": f"WITH {ISSUES} SELECT chapter_id, user_id, issue_type, count(*) FILTER (status = 'open') AS open_count, max(updated_at) FILTER (status = 'resolved') AS accepted_at FROM issues WHERE status IN ('open', 'resolved') GROUP BY ALL",
     "only_closed": f"WITH {ISSUES} SELECT user_id, created_at::DATE AS day, count(*) AS n FROM issues i WHERE NOT EXISTS (SELECT 1 FROM issues j WHERE j.user_id = i.user_id AND j.created_at::DATE = i.created_at::DATE AND {_ACTIVE}) GROUP BY ALL",
     "missing_seeds": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)",
     "resolve_missing": f"WITH {ISSUES} SELECT issue_id, CASE WHEN EXISTS (SELECT 1 FROM issues j WHERE j.k > 90 AND j.user_id = i.user_id AND j.issue_type = i.issue_type AND j.created_at > i.created_at) THEN 'active' ELSE 'resolved' END AS new_status FROM issues i WHERE {_ACTIVE}",
     "user_sets": "WITH a AS (SELECT user_id, ts::DATE AS day FROM events WHERE event_type = 'error'), b AS (SELECT user_id, ts::DATE AS day FROM events WHERE event_type = 'purchase') SELECT operation, count(*) AS n, sum(user_id)::BIGINT AS total FROM (SELECT 'union' AS operation, * FROM (FROM a UNION FROM b) UNION ALL SELECT 'intersect', * FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'except', * FROM (FROM a EXCEPT FROM b)) GROUP BY operation",
     "overridden_terms": "SELECT lower(p_name) AS term, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY starts_with(p_type, 'PROMO') DESC, p_partkey) = 1",
     "preferred_runs": "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_quantity DESC, l_linenumber DESC) = 1",
-    "acceptance_ratios": "SELECT lang, count(quality) AS labelled, CASE WHEN count(quality) > 0 THEN round(count_if(quality = 1) / count(quality), 6) ELSE 0.0 END AS ratio, 10 * count_if(quality = 1) >= 8 * count(quality) AS accepted FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
+    "acceptance_ratios": "SELECT lang, count(quality) AS labelled, CASE WHEN count(quality) > 0 THEN round(count(*) FILTER (quality = 1) / count(quality), 6) ELSE 0.0 END AS ratio, 10 * count(*) FILTER (quality = 1) >= 8 * count(quality) AS accepted FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
     "failure_families": f"WITH {ISSUES}, f AS (SELECT CASE WHEN k % 11 = 0 THEN 'rate_limit' WHEN k % 7 = 0 THEN 'timeout' WHEN k % 5 = 0 THEN 'bad_output' ELSE 'unknown' END AS family, chapter_id FROM issues WHERE issue_type = 'error'), g AS (SELECT family, count(*) AS n, count(DISTINCT chapter_id) AS chapter_count, CASE family WHEN 'rate_limit' THEN 'retry' WHEN 'timeout' THEN 'retry' WHEN 'bad_output' THEN 'repair' ELSE 'escalate' END AS action FROM f GROUP BY family) SELECT *, action = 'retry' AS retryable FROM g",
     "retry_schedule": f"WITH {ISSUES}, r AS (SELECT issue_id, k % 6 + 1 AS attempt, updated_at FROM issues WHERE issue_type = 'error' AND {_ACTIVE}) SELECT issue_id, attempt, (30 * (1 << (attempt - 1)))::BIGINT AS delay, updated_at + to_seconds(30 * (1 << (attempt - 1))) > {_NOW} AS blocked FROM r",
-    "run_states": f"WITH {ISSUES}, c AS (SELECT chapter_id, count_if(status = 'triaged') AS in_flight, count_if(status = 'open') AS claimable, count_if(status = 'wontfix' AND blocking) AS failed FROM issues GROUP BY chapter_id) SELECT *, CASE WHEN failed > 5 THEN 'failed' WHEN in_flight > 0 THEN 'running' WHEN claimable > 0 THEN 'waiting' ELSE 'done' END AS state FROM c",
-    "lane_health": f"WITH {ISSUES}, l AS (SELECT owner_id, chapter_id, {_SECONDS.format(_NOW)} - {_SECONDS.format('max(updated_at)')} AS idle, count_if(status = 'open') AS waiting FROM issues GROUP BY ALL), s AS (SELECT owner_id, idle, CASE WHEN waiting = 0 THEN 'terminal' WHEN idle > 2592000 THEN 'starved' WHEN idle > 86400 THEN 'late' ELSE 'healthy' END AS state FROM l) SELECT owner_id, state, count(*) AS lanes, max(idle) AS longest_idle FROM s GROUP BY ALL",
+    "run_states": f"WITH {ISSUES}, c AS (SELECT chapter_id, count(*) FILTER (status = 'triaged') AS in_flight, count(*) FILTER (status = 'open') AS claimable, count(*) FILTER (status = 'wontfix' AND blocking) AS failed FROM issues GROUP BY chapter_id) SELECT *, CASE WHEN failed > 5 THEN 'failed' WHEN in_flight > 0 THEN 'running' WHEN claimable > 0 THEN 'waiting' ELSE 'done' END AS state FROM c",
+    "lane_health": f"WITH {ISSUES}, l AS (SELECT owner_id, chapter_id, {_SECONDS.format(_NOW)} - {_SECONDS.format('max(updated_at)')} AS idle, count(*) FILTER (status = 'open') AS waiting FROM issues GROUP BY ALL), s AS (SELECT owner_id, idle, CASE WHEN waiting = 0 THEN 'terminal' WHEN idle > 2592000 THEN 'starved' WHEN idle > 86400 THEN 'late' ELSE 'healthy' END AS state FROM l) SELECT owner_id, state, count(*) AS lanes, max(idle) AS longest_idle FROM s GROUP BY ALL",
     "export_gate": "SELECT CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN toxic = 1 THEN 'blocked' WHEN quality = 0 THEN 'quality' WHEN quality IS NULL THEN 'unreviewed' ELSE 'ok' END AS gate, count(*) AS n, min(doc_id) AS first_doc_id FROM documents LEFT JOIN labels USING (doc_id) GROUP BY gate",
     "transition_guard": f"""WITH {ISSUES}, m AS (SELECT lag(status) OVER (PARTITION BY user_id ORDER BY created_at, issue_id) AS old, status AS new FROM issues) SELECT old, new, count(*) AS n, (old = 'open' AND new != 'open') OR (old = 'triaged' AND new IN ('resolved', 'wontfix')) AS allowed FROM m WHERE old IS NOT NULL GROUP BY old, new""",
-    "expectation_failures": f"WITH r(path, rule, expected) AS (VALUES {', '.join(map(str, EXPECTED))}), a AS (SELECT path, rule, expected, CASE WHEN path = 'k' THEN regexp_extract(props, '\"k\": ([0-9]+)', 1) END AS actual FROM events, r) SELECT path, rule, count(*) AS checked, count_if(NOT coalesce(CASE WHEN rule = 'equals' THEN actual = expected ELSE contains(actual, expected) END, false)) AS failed FROM a GROUP BY ALL",
-    "field_completeness": "SELECT event_type, count(*) AS n, " + ", ".join(f"count_if({c} IS NULL) AS no_{c}" for c in ("event_id", "ts", "user_id", "value", "props")) + " FROM events GROUP BY event_type",
-    "run_estimates": f"WITH {ISSUES}, e AS (SELECT chapter_id, {_SECONDS.format('max(updated_at)')} - {_SECONDS.format('min(created_at)')} AS elapsed, count_if(NOT {_ACTIVE}) AS done, count_if({_ACTIVE}) AS \"left\" FROM issues GROUP BY chapter_id) SELECT *, CASE WHEN done > 0 THEN elapsed * \"left\" // done END AS remaining FROM e",
+    "expectation_failures": f"WITH r(path, rule, expected) AS (VALUES {', '.join(map(str, EXPECTED))}), a AS (SELECT path, rule, expected, CASE WHEN path = 'k' THEN regexp_extract(props, '\"k\": ([0-9]+)', 1) END AS actual FROM events, r) SELECT path, rule, count(*) AS checked, count(*) FILTER (NOT coalesce(CASE WHEN rule = 'equals' THEN actual = expected ELSE contains(actual, expected) END, false)) AS failed FROM a GROUP BY ALL",
+    "field_completeness": "SELECT event_type, count(*) AS n, " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS no_{c}" for c in ("event_id", "ts", "user_id", "value", "props")) + " FROM events GROUP BY event_type",
+    "run_estimates": f"WITH {ISSUES}, e AS (SELECT chapter_id, {_SECONDS.format('max(updated_at)')} - {_SECONDS.format('min(created_at)')} AS elapsed, count(*) FILTER (NOT {_ACTIVE}) AS done, count(*) FILTER ({_ACTIVE}) AS \"left\" FROM issues GROUP BY chapter_id) SELECT *, CASE WHEN done > 0 THEN elapsed * \"left\" // done END AS remaining FROM e",
     "page_links": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>') AS found FROM pages), r AS (SELECT page_id, unnest(range(len(found))) AS place, unnest(found) AS raw FROM a), l AS (SELECT page_id, place, regexp_replace(regexp_extract(raw, 'href="([^"]*)"', 1), '#.*$', '') AS href, regexp_extract(raw, '>([^<]*)<', 1) AS title FROM r) SELECT page_id, href, arg_min(title, place) AS title, count(*) AS n FROM l GROUP BY ALL""",
     "contents_pages": "WITH p AS (SELECT page_id, length(array_to_string(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1), '')) AS link_chars, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_chars FROM pages) SELECT *, 10 * link_chars >= n_chars AS contents_like FROM p",
 }

@@ -138,8 +138,8 @@ def dominant_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concept_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring words of four small letters or more that stand in two documents or more."""
     words = F.split("block_text", " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    rows = blocks(spark, sf_dir).where(F.size(words) > 1).select("doc_id", F.explode(pairs).alias("concept")).where(F.col("concept").rlike("^[a-z]{4,} [a-z]{4,}$"))
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    rows = blocks(spark, sf_dir).select("doc_id", F.explode(pairs).alias("concept")).where(F.col("concept").rlike("^[a-z]{4,} [a-z]{4,}$"))
     return rows.groupBy("concept").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("document_count")).where("document_count >= 2")
 
 
@@ -205,8 +205,8 @@ SELECT doc_id, first AS first_block, count(*) AS block_count, sum(n)::BIGINT AS
 t AS (SELECT p.doc_id, arg_max(place, (score, least(place - 1, abs(place - second)), -place)) AS third FROM placed p JOIN s ON p.doc_id = s.doc_id WHERE place > 1 AND place != second GROUP BY p.doc_id)
 SELECT d.doc_id, 1 AS first, second, third FROM (SELECT DISTINCT doc_id FROM placed) d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
     "orphan_tails": "SELECT conv_id, turn, attached_to FROM (SELECT conv_id, turn, coalesce(length(text), 0) < 100 AS short, max(CASE WHEN coalesce(length(text), 0) >= 100 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS attached_to FROM conversations) WHERE short AND attached_to IS NOT NULL",
-    "zipped_turns": "WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place FROM conversations), e AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count_if(role = 'user') = count_if(role = 'assistant')) SELECT a.conv_id, a.place, a.turn AS source_turn, b.turn AS target_turn FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.place = b.place AND a.role = 'user' AND b.role = 'assistant' WHERE a.conv_id IN (SELECT conv_id FROM e)",
-    "document_profile": f"WITH {BLOCKS}, p AS (SELECT doc_id, count(*) AS block_count, count_if(length(block_text) >= 32) AS dense_count FROM blocks GROUP BY doc_id) SELECT *, CASE WHEN 5 * dense_count < block_count THEN 'scanned' WHEN 10 * dense_count < 9 * block_count THEN 'mixed' ELSE 'text' END AS kind FROM p",
+    "zipped_turns": "WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place FROM conversations), e AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') = count(*) FILTER (role = 'assistant')) SELECT a.conv_id, a.place, a.turn AS source_turn, b.turn AS target_turn FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.place = b.place AND a.role = 'user' AND b.role = 'assistant' WHERE a.conv_id IN (SELECT conv_id FROM e)",
+    "document_profile": f"WITH {BLOCKS}, p AS (SELECT doc_id, count(*) AS block_count, count(*) FILTER (length(block_text) >= 32) AS dense_count FROM blocks GROUP BY doc_id) SELECT *, CASE WHEN 5 * dense_count < block_count THEN 'scanned' WHEN 10 * dense_count < 9 * block_count THEN 'mixed' ELSE 'text' END AS kind FROM p",
     "median_block_length": f"WITH {BLOCKS} SELECT doc_id, coalesce((SELECT median(length(block_text)) FROM blocks b WHERE b.doc_id = d.doc_id), {FONT})::DOUBLE AS median_length FROM (SELECT DISTINCT doc_id FROM documents) d",
     "weighted_mode": "SELECT source, lang, n_chars FROM (SELECT source, lang, sum(coalesce(length(text), 0))::BIGINT AS n_chars FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, lang) = 1",
     "dominant_offset": 'SELECT l_suppkey, "offset", n FROM (SELECT l_suppkey, l_quantity::BIGINT AS "offset", count(*) AS n FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, "offset") = 1',
