@@ -5,6 +5,7 @@ import zipfile
 
 import pytest
 
+from quillspark.sinks import books as made
 from quillspark.sinks import exports
 from quillspark.sources import epub
 from quillspark.streaming import activity
@@ -30,10 +31,34 @@ def books(tmp_path_factory):
 
 def test_epub_blocks_follow_the_spine(spark, books):
     rows = epub.read_epub(spark, books).collect()
-    good = sorted((r.chapter, r.ordinal, r.tag, r.text) for r in rows if r.text)
+    good = sorted((r.chapter, r.ordinal, r.tag, r.text) for r in rows if r.text and not r.repaired)
     assert good == [(0, 0, "h1", "One"), (0, 1, "p", "First bold text"), (0, 2, "li", "item"), (0, 3, "pre", " a\n b")]
     assert {(r.title, r.creator, r.language) for r in rows if r.text} == {("A Book", "Someone", "en")}
-    assert sorted(r.href or "" for r in rows if r.error) == ["", "OEBPS/bad.xhtml"]
+    assert [r.href for r in rows if r.error] == [None]
+    assert [(r.chapter, r.href, r.text) for r in rows if r.repaired] == [(1, "OEBPS/bad.xhtml", "open")]
+
+
+def test_pages_that_are_no_xml_are_repaired():
+    raw = b"<head><title>t</title></head><body><h2>A &nbsp;B</h2><p>one<br>two<p>three &amp; <b>four</b><pre> x\n y</pre><ul><li>i<li>j</ul><script>no()</script>\x01"
+    assert epub.page_texts(raw) == (True, [("h2", "A B"), ("p", "onetwo"), ("p", "three & four"), ("pre", " x\n y"), ("li", "i"), ("li", "j")])
+    assert epub.page_texts(b"") == (True, [])
+
+
+def test_books_come_back_from_their_files(spark, tmp_path):
+    rows = [(7, "T <1>", "en", c, o, "h1" if o == 0 else "p", f"{c} & {o}") for c in (0, 1) for o in (0, 1)] + [(8, None, None, 0, 0, "p", "only"), (8, None, None, 0, 1, "p", None), (9, None, None, 0, 0, "p", None)]
+    found = made.books(spark.createDataFrame(rows, "doc_id long, title string, language string, chapter int, ordinal int, tag string, text string")).collect()
+    assert sorted(r.name for r in found) == ["7.epub", "8.epub"]
+    for r in found:
+        (tmp_path / r.name).write_bytes(r.content)
+    back = epub.read_epub(spark, str(tmp_path)).collect()
+    assert sorted((r.title, r.language, r.chapter, r.ordinal, r.tag, r.text, r.toc_title) for r in back if "/7.epub" in r.path) == [("T <1>", "en", c, o, "h1" if o == 0 else "p", f"{c} & {o}", f"{c} & 0") for c in (0, 1) for o in (0, 1)]
+    assert [(r.title, r.text, r.error) for r in back if "/8.epub" in r.path] == [("Document 8", "only", None)]
+
+
+def test_reading_chapters_leave_out_contents(spark):
+    rows = [("b", 0, "x/toc.xhtml", "p", "t")] + [("b", 1, "x/a.xhtml", "li", "i")] * 5 + [("b", 2, "x/tocsin.xhtml", "p", "t"), ("b", 3, None, "p", None)]
+    got = epub.reading_chapters(spark.createDataFrame(rows, "path string, chapter int, href string, tag string, text string")).collect()
+    assert [r.chapter for r in got] == [2]
 
 
 def test_files_lists_only_the_pattern(spark, books):
