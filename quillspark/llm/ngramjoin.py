@@ -197,7 +197,9 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, one row for each row of docs."""
     n = 2 * buckets(docs.sparkSession)
     sets = written(shared_sets(incidence(docs, k, n), percent / 100, n), "sets")
-    able = sets.where("shingles is not null").withColumn("key", F.sha2("shingles", 256))
+    # only a set that others share whole can equal another; one with shingles of its own is a class of its own
+    whole = F.length("shingles") == 8 * F.col("n_shingles")
+    able = sets.where("shingles is not null").withColumn("key", F.when(whole, F.sha2("shingles", 256)).otherwise(F.concat(F.lit("own "), F.col("doc_id").cast("string"))))
     heads = able.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("node"))
     member = written(able.join(heads, ["key", "n_shingles"]).select("doc_id", "node"), "members")
     classes = written(able.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "shingles"), "classes")

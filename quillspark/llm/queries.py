@@ -68,7 +68,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]"
+#: The others need learned models, tokenizers, crc32 or approximate search, or (op5) are too slow in SQL on whole tables.
+SQL = {
+    "op7_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(range(len(a))) AS n, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM l),
+g AS (SELECT doc_id, n FROM w WHERE regexp_matches(line, '{_WORDS}') AND regexp_matches(next, '{_WORDS}') QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id, n) > 1),
+d AS (FROM g UNION SELECT doc_id, n + 1 FROM g),
+m AS (SELECT l.*, d.n IS NOT NULL AS gone FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.n = l.n),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM m)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id""",
+    "op9_ngram_join": f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM t),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id != b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM r LEFT JOIN z ON z.doc_id = a GROUP BY a""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
