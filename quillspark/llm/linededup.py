@@ -1,7 +1,8 @@
 """Deletes later copies of runs of lines that repeat, within a document or across documents.
 
-A window of min_lines lines, each with a word in it, is a later copy if equal lines stand earlier, in the order
-of (doc_id, line); each line of a later copy goes. Windows get their names by prefix doubling over line ids: the
+Lines without a word don't count: runs go across them, and those inside a deleted run go with it. A window of
+min_lines lines with a word is a later copy if equal lines stand earlier, in the order of (doc_id, line); each line
+of a later copy goes. Windows get their names by prefix doubling over line ids: the
 name of a run is the first place where it occurs, and that of a run twice as long comes from the names of its
 halves. Places with equal names are an interval of the suffix array whose common prefix is that long, and
 adjoining windows make up the maximal runs; the order between intervals isn't needed, so it isn't computed.
@@ -34,14 +35,15 @@ def named(runs: DataFrame, by: list[str]) -> DataFrame:
     """
     place = F.struct("doc_id", "_row", "n")
     first = runs.groupBy(*by).agg(F.min(place).alias("name"), F.max(place).alias("last")).where("name != last").drop("last")
-    return runs.join(first, by).select("doc_id", "_row", "n", "name")
+    return runs.join(first, by).drop(*by)
 
 
 def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
-    """doc_id, row, n of the first lines of windows of min_lines lines that occur earlier."""
+    """doc_id, row, n of the first lines of windows of min_lines lines that occur earlier; n counts lines with a word."""
     line = F.col("line")
-    each = docs.select("doc_id", row_key().alias("_row"), F.posexplode(lines_of(F.col("text"))).alias("n", "line"))
-    ids = each.where(line.rlike(WORD)).select("doc_id", "_row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"))
+    worded = F.filter(lines_of(F.col("text")), lambda x: x.rlike(WORD))
+    each = docs.select("doc_id", row_key().alias("_row"), F.posexplode(worded).alias("n", "line"))
+    ids = each.select("doc_id", "_row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"))
     runs, length = named(ids, ["one", "two"]), 1
     while length < min_lines:
         step = min(length, min_lines - length)
@@ -53,14 +55,18 @@ def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """docs with text as what is kept, and n_lines, n_removed and n_runs (maximal deleted runs)."""
-    gone = later_copies(docs, min_lines).groupBy("doc_id", "_row").agg(F.collect_set("n").alias("starts"))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda n: F.sequence(n, n + min_lines - 1))))).alias("_gone"))
+    gone = later_copies(docs, min_lines).groupBy("doc_id", "_row").agg(F.collect_set("n").alias("_runs"))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_runs")
     names = docs.columns
     found = docs.withColumn("_row", row_key())
     found = found.join(gone, found["doc_id"].eqNullSafe(gone["_gone_id"]) & (found["_row"] == gone["_gone_row"]), "left")
     lines = lines_of(F.col("text"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i)), "\n")
     found = found.withColumn("_lines", lines)
+    places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
+    found = found.withColumn("_places", F.when(F.col("_runs").isNotNull(), places))
+    covered = F.transform("_runs", lambda n: F.sequence(F.get("_places", n), F.get("_places", n + min_lines - 1)))
+    found = found.withColumn("_gone", F.array_sort(F.array_distinct(F.flatten(covered))))
     runs = F.size(F.filter("_gone", lambda n, i: F.coalesce(F.get("_gone", i - 1) != n - 1, F.lit(True))))
     return found.select(
         *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names if c not in ("n_lines", "n_removed", "n_runs")],
