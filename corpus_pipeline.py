@@ -10,6 +10,10 @@ from quillspark.llm import linededup, ngramjoin, packing, qualityrules, queries,
 from quillspark.llm.shared import written
 
 
+#: A repeated line of so many words goes even if the lines around it differ.
+LINE_WORDS = 5
+
+
 def shaped(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of documents, with n_chars of the text as it is now."""
     return df.withColumn("n_chars", F.length("text").cast("long")).select(*like.columns)
@@ -20,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shaped(linededup.dedup_lines(docs), docs)
+    return shaped(linededup.dedup_lines(docs, min_words=LINE_WORDS), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Lines without a word don't count: runs go across them, and those inside a deleted run go with it. A window of
 min_lines lines with a word is a later copy if equal lines stand earlier, in the order of (doc_id, line); each line
-of a later copy goes. Windows get their names by prefix doubling over line ids: the
+of a later copy goes. With min_words a single line of so many words is a run as well. Windows get their names by prefix doubling over line ids: the
 name of a run is the first place where it occurs, and that of a run twice as long comes from the names of its
 halves. Places with equal names are an interval of the suffix array whose common prefix is that long, and
 adjoining windows make up the maximal runs; the order between intervals isn't needed, so it isn't computed.
@@ -38,24 +38,33 @@ def named(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs.join(first, by).drop(*by)
 
 
-def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
-    """doc_id, row, n of the first lines of windows of min_lines lines that occur earlier; n counts lines with a word."""
+def has_words(line: Column, n: int) -> Column:
+    """Whether line has n words at least; linear in its length, as nothing is tried twice."""
+    return line.rlike(rf"^[\x20\x09-\x0D]*+(?:{WORD}++[\x20\x09-\x0D]++){{{n - 1}}}{WORD}")
+
+
+def later_copies(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """doc_id, row, n and size (in lines) of runs that occur earlier; n counts the lines with a word."""
     line = F.col("line")
     worded = F.filter(lines_of(F.col("text")), lambda x: x.rlike(WORD))
     each = docs.select("doc_id", row_key().alias("_row"), F.posexplode(worded).alias("n", "line"))
-    ids = each.select("doc_id", "_row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"))
+    long = [] if min_words is None else [has_words(line, min_words).alias("long")]
+    ids = each.select("doc_id", "_row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"), *long)
     runs, length = named(ids, ["one", "two"]), 1
+    later = F.struct("doc_id", "_row", "n") != F.col("name")
+    single = runs.where(F.col("long") & later).select("doc_id", "_row", "n", F.lit(1).alias("size")) if long else None
     while length < min_lines:
         step = min(length, min_lines - length)
         halves = runs.select("doc_id", "_row", (F.col("n") - step).alias("n"), F.col("name").alias("second"))
         both = runs.withColumnRenamed("name", "first").alias("a").join(halves.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._row") == F.col("b._row")) & (F.col("a.n") == F.col("b.n")))
         runs, length = named(both.select("a.doc_id", "a._row", "a.n", "first", "second"), ["first", "second"]), length + step
-    return runs.where(F.struct("doc_id", "_row", "n") != F.col("name")).select("doc_id", "_row", "n")
+    found = runs.where(later).select("doc_id", "_row", "n", F.lit(min_lines).alias("size"))
+    return found.union(single) if long else found
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with text as what is kept, and n_lines, n_removed and n_runs (maximal deleted runs)."""
-    gone = later_copies(docs, min_lines).groupBy("doc_id", "_row").agg(F.collect_set("n").alias("_runs"))
+    gone = later_copies(docs, min_lines, min_words).groupBy("doc_id", "_row").agg(F.collect_set(F.struct("n", "size")).alias("_runs"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_runs")
     names = docs.columns
     found = docs.withColumn("_row", row_key())
@@ -65,7 +74,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     found = found.withColumn("_lines", lines)
     places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
     found = found.withColumn("_places", F.when(F.col("_runs").isNotNull(), places))
-    covered = F.transform("_runs", lambda n: F.sequence(F.get("_places", n), F.get("_places", n + min_lines - 1)))
+    covered = F.transform("_runs", lambda r: F.sequence(F.get("_places", r["n"]), F.get("_places", r["n"] + r["size"] - 1)))
     found = found.withColumn("_gone", F.array_sort(F.array_distinct(F.flatten(covered))))
     runs = F.size(F.filter("_gone", lambda n, i: F.coalesce(F.get("_gone", i - 1) != n - 1, F.lit(True))))
     return found.select(
