@@ -76,7 +76,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int, seed: int) -> tupl
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, near: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Row, place, least order and hash of the windows whose least string is at one of the places near."""
+    """Row, place, hash and 0 of the windows whose least string is at one of the places near.
+
+    Only equal windows are to meet, so they are dealt by their own hash: the different windows of a string that many
+    documents hold don't gather in one part.
+    """
     if len(data) < size or not len(near):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     prefix, _, order, least = sampled(data, offsets, size, seed)
@@ -84,7 +88,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, near: np.ndarray, size: int,
     asked[near] = order[near]
     at = np.flatnonzero(sliding(asked, size - seed + 1, np.minimum, 2**32 - 1) == least)
     row = np.searchsorted(offsets, at, "right") - 1
-    return row, at - offsets[row], least[at].astype(np.uint64), span_hash(prefix, at, at + size)
+    return row, at - offsets[row], span_hash(prefix, at, at + size), np.zeros(len(at), np.uint64)
 
 
 class Levels:
