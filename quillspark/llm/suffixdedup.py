@@ -325,6 +325,12 @@ def each(offsets: np.ndarray, f) -> tuple[np.ndarray, ...]:
     return np.concatenate(rows), *(np.concatenate(c) for c in list(zip(*out, strict=True))[1:])
 
 
+def near_places(first: DataFrame) -> DataFrame:
+    """_id, _row and near: all lists of places of a document. Rows equal in doc_id and text have one each, and these
+    differ, as a place is marked for the copy alone that stands in the index."""
+    return first.where("near is not null").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("near").alias("near"))
+
+
 def dedup_bytes(docs: DataFrame, size: int = 200) -> DataFrame:
     """docs with text as what is left after removing each byte that a repeated string of size bytes covers."""
     n, seed = 2 * buckets(docs.sparkSession), size // 2
@@ -334,7 +340,7 @@ def dedup_bytes(docs: DataFrame, size: int = 200) -> DataFrame:
         return each(offsets, lambda i, j: anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size, seed))
 
     def second_keys(t: pa.Table, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        near = [np.frombuffer(x, np.int64) for x in t["near"].to_pylist()]
+        near = [np.unique(np.frombuffer(b"".join(x), np.int64)) for x in t["near"].to_pylist()]
 
         def own(i: int, j: int) -> tuple[np.ndarray, ...]:
             bounds = offsets[i : j + 1] - offsets[i]
@@ -343,8 +349,7 @@ def dedup_bytes(docs: DataFrame, size: int = 200) -> DataFrame:
         return each(offsets, own)
 
     first = written(settled(rows, size, first_keys, seed, n), "matches")
-    asked = first.where("near is not null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "near")
-    asked = asked.dropDuplicates(["_id", "_row"])
+    asked = near_places(first)
     again = rows.join(asked, rows["doc_id"].eqNullSafe(asked["_id"]) & (rows["row"] == asked["_row"])).select("doc_id", "row", "text", "near")
     second = settled(again, size, second_keys, size, n)
     return cut(docs, first.select("doc_id", "row", "spans").union(second.select("doc_id", "row", "spans")), size)
