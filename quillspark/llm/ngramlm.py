@@ -1,11 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tokens are words and one end per text. A word's probability mixes its unigram probability with that of its
-spelling: byte trigrams of the word, in lower case, whose counts are held by a log-frequency Bloom filter.
-The filter is broadcast. Only n-grams of up to three bytes are in it, at most 2^24 + 2^16 + 2^8, so its size
-has a bound whatever the corpus: the base of its count levels doubles its exponent until it fits. Exact word
-counts grow with the corpus; they are never gathered in one place, but meet the words' postings bucket by
-bucket.
+Tokens are words and one end per text. Word trigrams lean on bigrams, and these on unigrams, which mix a word's
+probability (0.7) with that of its spelling (byte trigrams in lower case).
+
+Counts of word bigrams and trigrams are held by log-frequency Bloom filters, one for each part of their hashes. The
+number of parts grows with the corpus, so each stays bounded; none is gathered in one place. Each group of texts
+sends its different n-grams to their parts with how often it trains them, and gets back the counts its filter
+holds; unigrams get exact ones the same way. The filter of the spelling is broadcast: it holds at most
+2^24 + 2^16 + 2^8 n-grams, and the base of its levels doubles its exponent until it fits.
 
 Null and empty texts have the end token alone. A null doc_id counts as held out, as its text is empty.
 Repeated rows are scored each, and count as often as they occur. An empty table gives no rows.
@@ -141,6 +143,15 @@ def blob(x: np.ndarray) -> bytes:
     return x.tobytes()
 
 
+def small(data: bytes) -> bytes:
+    """Compressed, after its size."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def large(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True) if data else b""
+
+
 def corpus_counts(docs: DataFrame) -> dict:
     """Of the training rows: tokens, different tokens, texts, and the counts of n-grams of up to three bytes."""
     n = 2 * buckets(docs.sparkSession)
@@ -209,82 +220,146 @@ def filter_of(found: dict) -> tuple[CountFilter, float]:
     return CountFilter(held[good], times[good]), float(counts.sum())
 
 
-POSTINGS = "bucket int, source long, docs int, hashes binary, trained binary, spelled binary, sizes binary, postings binary, times binary"
-PARTS = "source long, bucket int, base binary, score binary, known binary, own binary"
+ASKED = "deal int, source long, kind int, keys binary, trained binary"
+ANSWERS = "source long, bucket int, kind int, counts binary"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def scores(docs: DataFrame, share: float = 0.7) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. share: that of the unigrams."""
+#: Tokens of the corpus for each part of the filters, so that parts stay small and their number grows.
+PART = 2_000_000
+#: Stand for the begin and the end of a text among the hashes of words; kinds of n-grams.
+BEGIN, END = _U(0x6C62272E07BB0142), _U(0x62B821756295C58D)
+WORD, PAIR, TRIPLE = 1, 2, 3
+
+
+class Tokens:
+    """The words of a group of texts, each text between BEGIN and END, and hashes of the n-grams that end at each."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.start, self.end, upto = spans(data, offsets)
+        sizes = np.diff(upto) + 2
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.first, self.last = at[:-1], at[1:] - 1
+        self.is_word = np.ones(len(self.row), bool)
+        self.is_word[self.first] = self.is_word[self.last] = False
+        own = np.empty(len(self.row), np.uint64)
+        own[self.is_word] = hash_words(data, self.start, self.end)
+        own[self.first], own[self.last] = BEGIN, END
+        self.has_pair = np.ones(len(self.row), bool)
+        self.has_pair[self.first] = False
+        self.has_triple = self.has_pair.copy()
+        self.has_triple[self.first + 1] = False
+        spread, pair, triple = mix(own), np.zeros_like(own), np.zeros_like(own)
+        pair[1:] = mix(own[:-1] * _U(0x9E3779B97F4A7C15) + spread[1:])
+        triple[1:] = mix(pair[:-1] * _U(0xD6E8FEB86659FD93) + spread[1:])
+        self.grams = [(WORD, self.is_word, own), (PAIR, self.has_pair, pair), (TRIPLE, self.has_triple, triple)]
+
+    def keys(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each kind where n-grams end, the different ones, their parts, and which is which.
+
+        Words have 64 bits. Of the others a part tells 32 bits: as parts are bounded by PART, fewer strange n-grams
+        agree with one in the filter by these than by its probes.
+        """
+        for kind, here, hashes in self.grams:
+            own = hashes[here]
+            keys, which = np.unique(own if kind == WORD else own % _U(n) << _U(32) | own >> _U(32), return_inverse=True)
+            yield kind, here, keys, (keys % _U(n) if kind == WORD else keys >> _U(32)).astype(np.int64), which
+
+
+def gaps(keys: np.ndarray) -> bytes:
+    """The low 32 bits of sorted keys as gaps, the bytes of equal weight side by side, which compress to less."""
+    return np.diff(keys.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    planes = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T)
+    return np.cumsum(planes.view(np.uint32).ravel(), dtype=np.uint32)
+
+
+#: The count that a level of the filter stands for.
+LEVELS = np.concatenate([[0.0], 2 ** (np.arange(255) * 0.5) * (1 + 2**0.5) / 2])
+
+
+def after(count: np.ndarray, context: np.ndarray, less: np.ndarray, weight: float) -> np.ndarray:
+    """The probability after a context, leaning on that of the shorter context with weight."""
+    return (count + weight * less) / (np.maximum(context, count) + weight)
+
+
+def scores(docs: DataFrame, share: float = 0.7, weight: float = 4.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. share: that of exact counts in the
+    unigrams; weight: how much the probability after two words leans on that after one, and that on the unigram's."""
     spark = docs.sparkSession
-    n = buckets(spark)
     found = corpus_counts(docs)
     held, total = filter_of(found)
     filters = spark.sparkContext.broadcast(held)
     tokens, texts = found["tokens"], found["texts"]
     whole = tokens + 0.1 * (found["types"] + 1)
+    n = max(buckets(spark), tokens // PART)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         source = TaskContext.get().partitionId() << 24
         for ids, data, offsets in grouped(batches):
-            rows = len(ids)
-            start, end, upto = spans(data, offsets)
-            row = np.repeat(np.arange(rows), np.diff(upto))
-            hashes, one, which = np.unique(hash_words(data, start, end), return_index=True, return_inverse=True)
-            pairs, times = np.unique(which * np.int64(rows) + row, return_counts=True)
-            word, doc = pairs // max(rows, 1), pairs % max(rows, 1)
-            trained = np.bincount(word, times * in_training(ids)[doc], len(hashes)).astype(np.int64)
-            trigrams, at = spelling(data, start[one], end[one])
-            spelled = np.add.reduceat(log_spelling(filters.value, trigrams, total), at[:-1]) if len(hashes) else np.zeros(0)
-            sizes = np.bincount(word, minlength=len(hashes))
-            first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            bucket = (hashes % _U(n)).astype(np.int64)
-            out = [(-1, source, rows, b"".join([blob(np.array(ids.fill_null(0).to_pylist(), np.int64))]), blob(np.array(ids.is_null())), blob(np.diff(upto)), b"", b"", b"")]
-            for b, (h, c, s, size, f) in packed(bucket, n, [hashes, trained, spelled, sizes, first]):
-                k = ragged(f, size)
-                out.append((b, source, rows, blob(h), blob(c), blob(s), blob(size.astype(np.uint32)), blob(doc[k].astype(np.uint16)), blob(times[k].astype(np.uint32))))
-            yield table(out, POSTINGS)
+            t, use = Tokens(data, offsets), in_training(ids)
+            out = [(-1 - source % n, source, 0, small(blob(data)), small(blob(offsets))), (-1 - source % n, source, -1, blob(np.array(ids.fill_null(0).to_pylist(), np.int64)), blob(np.array(ids.is_null())))]
+            for kind, here, keys, part, which in t.keys(n):
+                trained = np.bincount(which, use[t.row[here]], len(keys)).astype(np.uint32)
+                out += [(b, source, kind, small(blob(k) if kind == WORD else gaps(k)), small(blob(c))) for b, (k, c) in packed(part, n, [keys, trained])]
+            yield table(out, ASKED)
             source += 1
 
     def meet(group: pa.Table) -> pa.Table:
-        if group["bucket"][0].as_py() < 0:
-            return pa.Table.from_batches([table([(s, -1, i, z, w, b"") for s, i, z, w in zip(*(group[c].to_pylist() for c in ("source", "hashes", "trained", "spelled")), strict=True)], PARTS)])
-        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in group[c]]
-        hashes, trained = read("hashes", np.uint64), read("trained", np.int64)
-        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(which, np.concatenate(trained))[which]
-        base = np.log10(counts + 0.1)
-        model = np.log10(share * (counts + 0.1) / whole + (1 - share) * 10 ** np.concatenate(read("spelled", np.float64)))
-        out, at = [], 0
-        for source, rows, h, size, doc, times in zip(group["source"].to_pylist(), group["docs"].to_pylist(), hashes, read("sizes", np.uint32), read("postings", np.uint16), read("times", np.uint32), strict=True):
-            mine = slice(at, at := at + len(h))
-            sums = [np.bincount(doc, np.repeat(v[mine], size) * times, rows) for v in (base, model, counts > 0)]
-            own = np.flatnonzero(np.bincount(doc, minlength=rows))
-            out.append((source, 0, *(blob(x[own]) for x in sums[:2]), blob(sums[2][own].astype(np.uint32)), blob(own.astype(np.uint16))))
-        return pa.Table.from_batches([table(out, PARTS)])
+        deal, source, kind, keys, trained = (group[c].to_pylist() for c in ("deal", "source", "kind", "keys", "trained"))
+        if deal[0] < 0:
+            rows = [(s, b, k, x) for s, k, *both in zip(source, kind, keys, trained, strict=True) for b, x in zip((-2, -1), both, strict=True)]
+            return pa.Table.from_batches([table(rows, ANSWERS)])
+        out = []
+        for own in sorted({*kind}):
+            mine = [i for i, k in enumerate(kind) if k == own]
+            asked = [np.frombuffer(large(keys[i]), np.uint64) if own == WORD else from_gaps(large(keys[i])) for i in mine]
+            different, which = np.unique(np.concatenate(asked), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([np.frombuffer(large(trained[i]), np.uint32) for i in mine]), len(different)).astype(np.int64)
+            if own != WORD:
+                seen = counts > 0
+                # the part is bounded by PART, so its filter needs no coarser levels
+                counts = np.searchsorted(LEVELS, 0.99 * CountFilter(different[seen], counts[seen], most_bytes=1 << 40).counts(different)).astype(np.uint8)
+            answers = np.split(counts[which], np.cumsum([len(a) for a in asked])[:-1])
+            out += [(source[i], deal[i], own, small(blob(a))) for i, a in zip(mine, answers, strict=True)]
+        return pa.Table.from_batches([table(out, ANSWERS)])
 
     end_base = np.log10(texts + 0.1)
-    end_model = float(np.log10(share * (texts + 0.1) / whole + (1 - share) * 10 ** log_spelling(held, np.array([WORD_END << 16 | WORD_END << 8 | TEXT_END], np.int32), total)[0]))
+    end_unigram = float(share * (texts + 0.1) / whole + (1 - share) * 10 ** log_spelling(held, np.array([WORD_END << 16 | WORD_END << 8 | TEXT_END], np.int32), total)[0])
 
     def finish(group: pa.Table) -> pa.Table:
-        cells = [group[c].to_pylist() for c in ("bucket", "base", "score", "known", "own")]
-        about = cells[0].index(-1)
-        ids, nulls, count = (np.frombuffer(cells[i][about], k) for i, k in ((1, np.int64), (2, bool), (3, np.int64)))
-        rows, count = len(ids), count + 1
-        base, score, known = np.zeros(rows), np.zeros(rows), np.zeros(rows)
-        for bucket, b, s, k, own in zip(*cells, strict=True):
-            if bucket >= 0:
-                own = np.frombuffer(own, np.uint16)
-                base[own] += np.frombuffer(b, np.float64)
-                score[own] += np.frombuffer(s, np.float64)
-                known[own] += np.frombuffer(k, np.uint32)
-        return pa.table([pa.array(ids, mask=nulls), pa.array(count.astype(np.int64)), pa.array((known + (texts > 0)).astype(np.int64)), pa.array(np.full(rows, tokens, np.int64)), pa.array(base + end_base - count * np.log10(whole)), pa.array(score + end_model)], names=[f.split()[0] for f in SCORES.split(", ")])
-
-    parts = docs.select("doc_id", "text").mapInArrow(post, POSTINGS)
-    # rows of the ids (bucket -1) are dealt by their source
-    met = parts.withColumn("deal", F.when(F.col("bucket") < 0, -1 - F.pmod("source", F.lit(n))).otherwise(F.col("bucket"))).groupBy("deal").applyInArrow(lambda t: meet(t.drop(["deal"])), PARTS)
-    found_scores = met.groupBy("source").applyInArrow(finish, SCORES)
+        cells = {(k, b): x for b, k, x in zip(*(group[c].to_pylist() for c in ("bucket", "kind", "counts")), strict=True)}
+        data, offsets = np.frombuffer(large(cells[0, -2]), np.uint8), np.frombuffer(large(cells[0, -1]), np.int64)
+        ids, nulls = np.frombuffer(cells[-1, -2], np.int64), np.frombuffer(cells[-1, -1], bool)
+        t, counts = Tokens(data, offsets), {}
+        for kind, here, keys, part, which in t.keys(n):
+            order = np.argsort(part, kind="stable")
+            answers = [np.frombuffer(large(cells[kind, b]), np.int64) if kind == WORD else LEVELS[np.frombuffer(large(cells[kind, b]), np.uint8)] for b in range(n) if (kind, b) in cells]
+            of_keys, counts[kind] = np.zeros(len(keys)), np.zeros(len(t.row))
+            of_keys[order] = np.concatenate([np.zeros(0), *answers])
+            counts[kind][here] = of_keys[which]
+            if kind == WORD:
+                one = np.zeros(len(keys), np.int64)
+                one[which] = np.arange(len(which))
+                trigrams, at = spelling(data, t.start[one], t.end[one])
+                spelled = np.add.reduceat(log_spelling(filters.value, trigrams, total), at[:-1])[which] if len(keys) else np.zeros(0)
+        rows, mine, known = len(ids), t.row[t.is_word], counts[WORD][t.is_word]
+        count = np.bincount(mine, minlength=rows) + 1
+        base = np.bincount(mine, np.log10(known + 0.1), rows) + end_base - count * np.log10(whole)
+        p = np.full(len(t.row), end_unigram)
+        p[t.is_word] = share * (known + 0.1) / whole + (1 - share) * 10**spelled
+        context = counts[WORD]
+        context[t.first] = context[t.last] = texts
+        p[1:] = np.where(t.has_pair[1:], after(counts[PAIR][1:], context[:-1], p[1:], weight), p[1:])
+        p[1:] = np.where(t.has_triple[1:], after(counts[TRIPLE][1:], counts[PAIR][:-1], p[1:], weight), p[1:])
+        score = np.bincount(t.row[t.has_pair], np.log10(p[t.has_pair]), rows)
+        seen = np.bincount(mine, known > 0, rows) + (texts > 0)
+        return pa.table([pa.array(ids, mask=nulls), pa.array(count.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(np.full(rows, tokens, np.int64)), pa.array(base), pa.array(score)], names=[f.split()[0] for f in SCORES.split(", ")])
+
+    answers = docs.select("doc_id", "text").mapInArrow(ask, ASKED).groupBy("deal").applyInArrow(meet, ANSWERS)
+    found_scores = answers.groupBy("source").applyInArrow(finish, SCORES)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
     return found_scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
