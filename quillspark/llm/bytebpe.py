@@ -1,18 +1,19 @@
-"""Byte-level BPE over whole batches of texts.
+"""Byte-level BPE over whole batches of texts, as a bounded-lookahead transducer.
 
-Texts are split into pieces by the pattern of the vocabulary, on arrays of code points. Each different piece
-goes to the tokenizers library once and is looked up by its hash afterwards, since a corpus repeats its pieces.
+Texts are split into pieces by the pattern of the vocabulary, on arrays of code points. The merges' sufficient
+lookahead is computed from their list. A token is emitted as soon as that many bytes after its end have been seen, or
+its piece has ended. Transducers of the pieces that fit the lookahead run side by side over arrays (`Merges.merged`);
+longer ones have one of their own that holds a window (`Transducer`). A corpus repeats its pieces, so what came out
+for a piece is kept by its hash for as long as the process lives.
 
 A text that is longer than a block is read as a stream: a block ends where the split into pieces can't change
-whatever follows, and inside a piece that is itself longer than a block, a token is emitted when the merges'
-sufficient lookahead of further bytes has been seen. Memory is bounded by the block, not by the text.
+whatever follows. Memory is bounded by the block, not by the text.
 """
 
 from __future__ import annotations
 
 import codecs
 import json
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,10 +21,8 @@ import numpy as np
 
 from .shared import mix, powers, ragged
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 LETTER, NUMBER, OTHER, WHITE = range(4)
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
 _APOSTROPHE = 39
@@ -78,30 +77,135 @@ def piece_starts(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
-class Encoder:
-    """ids of texts as the library's encode_batch gives them, and their bytes back."""
+class Merges:
+    """The vocabulary and the merges of a byte-level BPE file, and what they make of pieces."""
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            read = json.load(f)
+        vocabulary, added = read["model"]["vocab"], read["added_tokens"]
+        self.special = {t["content"]: t["id"] for t in added}
+        back = byte_of_symbol()
+        self.size = max([*vocabulary.values(), *self.special.values()]) + 1
+        names = [""] * self.size
+        for name, i in vocabulary.items():
+            names[i] = name
+        raw = [bytes(back[c] for c in n) if n not in self.special else n.encode() for n in names]
+        for name, i in self.special.items():
+            raw[i] = name.encode()
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        self.lengths = np.diff(self.offsets)
+        self.of_byte = np.zeros(256, np.int64)
+        for symbol, byte in back.items():
+            self.of_byte[byte] = vocabulary[symbol]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in read["model"]["merges"]]
+        self.lookahead = sufficient_lookahead(pairs)
+        left, right, made = (np.array([vocabulary[x] for x in column], np.int64) for column in (*zip(*pairs, strict=True), [u + v for u, v in pairs]))
+        rank = np.arange(len(pairs))
+        born = np.full(self.size, -1)
+        born[made] = rank
+        # a list as it is learned: each token has one merge, which follows those of its halves
+        self.ordered = len(np.unique(made)) == len(made) and bool((np.maximum(born[left], born[right]) < rank).all())
+        key = left * self.size + right
+        order = np.argsort(key)
+        self.keys, self.ranks, self.made = key[order], rank[order], made
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place in the list of the merge of each pair; the list's length where there is none."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.made))
+
+    def merged(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of pieces that stand one after the other, and how many each has.
+
+        All pieces go in step: in each one the earliest merge of the list that it allows is made, from the left,
+        until no piece allows any.
+        """
+        none = len(self.made)
+        counts = np.zeros(len(sizes), np.int64)
+        symbols, owner = self.of_byte[data], np.repeat(np.arange(len(sizes)), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            rank = np.full(len(symbols), none)
+            rank[:-1] = np.where(owner[1:] == owner[:-1], self.rank(symbols[:-1], symbols[1:]), none)
+            heads = np.flatnonzero(np.diff(owner, prepend=-1))
+            spans = np.diff(np.append(heads, len(owner)))
+            best = np.repeat(np.minimum.reduceat(rank, heads), spans)
+            over = best == none
+            if over.any():
+                done.append((owner[over], symbols[over]))
+                symbols, owner, rank, best = symbols[~over], owner[~over], rank[~over], best[~over]
+                if not len(symbols):
+                    break
+            hit = np.flatnonzero(rank == best)
+            first = np.ones(len(hit), bool)
+            if self.ordered:  # of equal symbols in a row, every other pair
+                first[1:] = hit[1:] != hit[:-1] + 1
+                start = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
+            else:
+                first[1:] = owner[hit[1:]] != owner[hit[:-1]]
+                hit = hit[first]
+            symbols[hit] = self.made[rank[hit]]
+            keep = np.ones(len(symbols), bool)
+            keep[hit + 1] = False
+            symbols, owner = symbols[keep], owner[keep]
+        if not done:
+            return np.zeros(0, np.uint32), counts
+        owners = np.concatenate([o for o, _ in done])
+        order = np.argsort(owners, kind="stable")
+        counts = np.bincount(owners, minlength=len(sizes))
+        return np.concatenate([s for _, s in done])[order].astype(np.uint32), counts
+
+
+class Transducer:
+    """Bytes of one piece in, tokens out as soon as no further byte can change them.
+
+    It holds no more than a window of four lookaheads: a token is stable once the sufficient lookahead has been
+    seen after its end. The consecutive tokens of an encoding encode to themselves, so what is held starts where
+    the last stable token ended.
+    """
+
+    def __init__(self, merges: Merges, window: int = 0):
+        self.merges, self.window, self.held = merges, max(window, 4 * merges.lookahead), np.zeros(0, np.uint8)
+
+    def feed(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        while len(data):
+            room = max(1, self.window - len(self.held))
+            self.held, data = np.concatenate([self.held, data[:room]]), data[room:]
+            if len(self.held) >= self.window:
+                ids, _ = self.merges.merged(self.held, np.array([len(self.held)]))
+                ends = np.cumsum(self.merges.lengths[ids])
+                stable = int(np.searchsorted(ends, len(self.held) - self.merges.lookahead, "right"))
+                yield ids[:stable]
+                self.held = self.held[ends[stable - 1] if stable else 0 :]
+
+    def finish(self) -> np.ndarray:
+        ids, _ = self.merges.merged(self.held, np.array([len(self.held)]))
+        self.held = self.held[:0]
+        return ids
 
-    def __init__(self, path: str, block: int = BLOCK, keep: int = 1 << 22):
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+@lru_cache(4)
+def encoder(path: str) -> "Encoder":
+    """The encoder of this process: a worker reads the vocabulary once, and its tasks share the pieces it knows."""
+    return Encoder(path)
+
+
+class Encoder:
+    """ids of texts, and their bytes back."""
+
+    def __init__(self, path: str, block: int = BLOCK, keep: int = 1 << 21):
+        self.merges = Merges(path)
+        self.special, self.lengths = self.merges.special, self.merges.lengths
         self.block, self.keep = block, keep
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self._clear()
-        self._path = path
 
     def _clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    @property
-    def lookahead(self) -> int:
-        if not hasattr(self, "_lookahead"):
-            self._lookahead = sufficient_lookahead(self._path)
-        return self._lookahead
+        """Pieces that are known, as sorted hashes with their ids: most of them, and those met of late."""
+        self.known = [Pieces.none(), Pieces.none()]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the n+1 offsets."""
@@ -132,49 +236,29 @@ class Encoder:
 
     def stream(self, text: str) -> Iterator[np.ndarray]:
         """The ids of one text, emitted as they become stable."""
-        while text:
-            at, special = min(((text.find(s), s) for s in self.special if s in text), default=(len(text), ""))
-            yield from self._plain(text[:at])
+        at = 0
+        while at < len(text):
+            end, special = min(((f, s) for s in self.special if (f := text.find(s, at)) >= 0), default=(len(text), ""))
+            yield from self._plain(text, at, end)
             if special:
                 yield np.array([self.special[special]], np.uint32)
-            text = text[at + len(special) :]
+            at = end + len(special)
 
-    def _plain(self, text: str) -> Iterator[np.ndarray]:
-        at = 0
-        while len(text) - at > self.block:
+    def _plain(self, text: str, at: int, end: int) -> Iterator[np.ndarray]:
+        while end - at > self.block:
             block = text[at : at + self.block]
             if cut := stable_cut(block):
                 yield self._block([block[:cut]])[0]
                 at += cut
             else:
-                end = at + 1 + stable_end(text, at)
-                yield from self._long(text, at, end)
-                at = end
-        if at < len(text):
-            yield self._block([text[at:]])[0]
-
-    def _long(self, text: str, at: int, end: int) -> Iterator[np.ndarray]:
-        """The ids of the one piece text[at:end], by windows that keep the sufficient lookahead unread.
-
-        The consecutive tokens of an encoding encode to themselves, so a new window starts where the last
-        stable token ended.
-        """
-        width = max(self.block, 4 * self.lookahead)
-        while end - at > width:
-            window = text[at : at + width]
-            found = self.library.encode(window, add_special_tokens=False)
-            stable = len(window.encode()) - self.lookahead
-            ids = np.array(found.ids, np.uint32)
-            reach = np.cumsum(self.lengths[ids])
-            ends = np.cumsum([len(c.encode()) for c in window])
-            good = np.flatnonzero((reach <= stable) & np.isin(reach, ends))
-            if not len(good):
-                width *= 2
-                continue
-            k = good[-1]
-            yield ids[: k + 1]
-            at += int(np.searchsorted(ends, reach[k])) + 1
-        yield np.array(self.library.encode(text[at:end], add_special_tokens=False).ids, np.uint32)
+                stop = piece_end(text, at, end)
+                machine = Transducer(self.merges)
+                for i in range(at, stop, self.block):
+                    yield from machine.feed(np.frombuffer(text[i : min(stop, i + self.block)].encode(), np.uint8))
+                yield machine.finish()
+                at = stop
+        if at < end:
+            yield self._block([text[at:end]])[0]
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = "".join(texts)
@@ -191,78 +275,110 @@ class Encoder:
         inverse = powers(pow(_BASE, -1, 2**64), n + 1)
         hashes = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
         different, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        slot = self._slots(different, whole, start[one], end[one])
-        starts, sizes = self.at[slot], self.at[slot + 1] - self.at[slot]
-        ids = self.ids[ragged(starts[which], sizes[which])]
+        found = self._pieces(different, whole, points, start[one], end[one])
+        starts, sizes = found.at[:-1], np.diff(found.at)
+        ids = found.ids[ragged(starts[which], sizes[which])]
         upto = np.concatenate([[0], np.cumsum(sizes[which])])
         return ids, upto[np.searchsorted(start, bounds)]
 
-    def _slots(self, hashes: np.ndarray, whole: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where each piece's ids are kept; pieces met for the first time go to the library."""
-        if len(self.known) > self.keep:
+    def _pieces(self, hashes: np.ndarray, whole: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> "Pieces":
+        """The ids of the pieces with these sorted hashes; those met for the first time are merged now."""
+        if sum(len(k.hashes) for k in self.known) > self.keep:
             self._clear()
-        at = np.searchsorted(self.known, hashes)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
+        sources = [*self.known]
+        source = np.full(len(hashes), -1)
+        slot = np.zeros(len(hashes), np.int64)
+        for k, have in enumerate(sources):
+            if len(have.hashes):
+                at = np.minimum(np.searchsorted(have.hashes, hashes), len(have.hashes) - 1)
+                hit = have.hashes[at] == hashes
+                source[hit], slot[hit] = k, at[hit]
+        new = np.flatnonzero(source < 0)
         if len(new):
-            ids, sizes = self._ask(whole, start[new], end[new])
-            known = np.concatenate([self.known, hashes[new]])
-            order = np.argsort(known, kind="stable")
-            length = np.concatenate([np.diff(self.at), sizes])
-            old = np.concatenate([[0], np.cumsum(length)])[:-1]
-            self.ids = np.concatenate([self.ids, ids])[ragged(old[order], length[order])]
-            self.known, self.at = known[order], np.concatenate([[0], np.cumsum(length[order])])
-            at = np.searchsorted(self.known, hashes)
-        return at
-
-    def _ask(self, whole: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The library's ids of pieces, and how many each has.
-
-        Pieces that begin with a space and go on with something else stay apart when they are written one
-        after the other, so the library gets many of them in one call; the others go one by one.
-        """
-        pieces = [whole[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
-        apart = np.array([p[0] == " " and len(p) > 1 and not p[1].isspace() and classes()[0][ord(p[1])] != WHITE for p in pieces])
-        parts, sizes = [], np.zeros(len(pieces), np.int64)
-        joined = np.flatnonzero(apart)
-        for i in range(0, len(joined), 2000):
-            k = joined[i : i + 2000]
-            ids = np.array(self.library.encode_batch_fast(["".join([pieces[x] for x in k.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(self.lengths[ids])
-            reach = np.searchsorted(ends, np.cumsum([len(pieces[x].encode()) for x in k.tolist()]))
-            sizes[k] = np.diff(reach + 1, prepend=0)
-            parts.append(ids)
-        alone = np.flatnonzero(~apart)
-        found = [e.ids for e in self.library.encode_batch_fast([pieces[x] for x in alone.tolist()], add_special_tokens=False)]
-        sizes[alone] = [len(f) for f in found]
-        parts += [np.array(f, np.uint32) for f in found]
-        order = np.concatenate([joined, alone])
-        at = np.empty(len(pieces), np.int64)
-        at[order] = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
-        return np.concatenate(parts)[ragged(at, sizes)], sizes
-
-    @property
-    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all tokens in one array, and the offsets of each."""
-        if not hasattr(self, "_pieces"):
-            back = byte_of_symbol()
-            names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
-            raw = [n.encode() if n in self.special else bytes(back[c] for c in n) for n in names]
-            self._pieces = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-        return self._pieces
-
-    @property
-    def lengths(self) -> np.ndarray:
-        return np.diff(self.pieces[1])
+            fresh = Pieces(hashes[new], *self._merge(whole, points, start[new], end[new]))
+            source[new], slot[new] = len(sources), np.arange(len(new))
+            sources.append(fresh)
+            late = fresh.joined(self.known[1])
+            if 4 * len(late.hashes) > len(self.known[0].hashes):
+                self.known = [late.joined(self.known[0]), Pieces.none()]
+            else:
+                self.known = [self.known[0], late]
+        sizes = np.zeros(len(hashes), np.int64)
+        for k, have in enumerate(sources):
+            mine = source == k
+            sizes[mine] = have.at[slot[mine] + 1] - have.at[slot[mine]]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.empty(int(at[-1]), np.uint32)
+        for k, have in enumerate(sources):
+            mine = np.flatnonzero(source == k)
+            ids[ragged(at[mine], sizes[mine])] = have.ids[ragged(have.at[slot[mine]], sizes[mine])]
+        return Pieces(hashes, ids, at)
+
+    def _merge(self, whole: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces and the n+1 offsets; a piece that is longer than the lookahead goes through a transducer
+        of its own, the others end before any of their tokens needs one."""
+        data = np.frombuffer("".join([whole[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]).encode(), np.uint8)
+        code = points[ragged(start, end - start)]
+        wide = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        sizes = np.add.reduceat(wide, np.concatenate([[0], np.cumsum(end - start)[:-1]]))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        long = sizes > self.merges.lookahead
+        short = np.flatnonzero(~long)
+        ids, counts = self.merges.merged(data[ragged(at[:-1][short], sizes[short])], sizes[short])
+        found, numbers = [ids], np.zeros(len(sizes), np.int64)
+        numbers[short] = counts
+        for k in np.flatnonzero(long).tolist():
+            machine = Transducer(self.merges)
+            own = np.concatenate([*machine.feed(data[at[k] : at[k + 1]]), machine.finish()])
+            found.append(own)
+            numbers[k] = len(own)
+        order = np.concatenate([short, np.flatnonzero(long)])
+        place = np.empty(len(sizes), np.int64)
+        place[order] = np.concatenate([[0], np.cumsum(numbers[order])[:-1]])
+        return np.concatenate(found)[ragged(place, numbers)], np.concatenate([[0], np.cumsum(numbers)])
 
     def decode(self, ids: np.ndarray, step: int = 1 << 20) -> Iterator[str]:
-        """The text of ids in parts: bytes of up to step tokens at a time go through a UTF-8 state machine,
-        which holds back the bytes of a character that isn't complete."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        data, offsets = self.pieces
+        """The text of ids in parts."""
+        machine = Decoder(self.merges)
         for i in range(0, len(ids), step):
-            part = ids[i : i + step].astype(np.int64)
-            yield machine.decode(data[ragged(offsets[part], offsets[part + 1] - offsets[part])].tobytes())
-        yield machine.decode(b"", True)
+            yield machine.feed(ids[i : i + step])
+        yield machine.finish()
+
+
+class Decoder:
+    """ids in, text out: their bytes go through a UTF-8 state machine, which holds back the bytes of a character
+    that isn't complete."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.machine = merges, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: np.ndarray) -> str:
+        at = ids.astype(np.int64)
+        return self.machine.decode(self.merges.bytes[ragged(self.merges.offsets[at], self.merges.lengths[at])].tobytes())
+
+    def finish(self) -> str:
+        return self.machine.decode(b"", True)
+
+
+class Pieces:
+    """Sorted hashes of pieces, and their ids with the n+1 offsets."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, at: np.ndarray):
+        self.hashes, self.ids, self.at = hashes, ids, at
+
+    @staticmethod
+    def none() -> "Pieces":
+        return Pieces(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def joined(self, other: "Pieces") -> "Pieces":
+        if not len(other.hashes):
+            return self
+        hashes = np.concatenate([self.hashes, other.hashes])
+        order = np.argsort(hashes, kind="stable")
+        sizes = np.concatenate([np.diff(self.at), np.diff(other.at)])
+        old = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        ids = np.concatenate([self.ids, other.ids])[ragged(old[order], sizes[order])]
+        return Pieces(hashes[order], ids, np.concatenate([[0], np.cumsum(sizes[order])]))
 
 
 def stable_cut(block: str) -> int:
@@ -277,12 +393,12 @@ def stable_cut(block: str) -> int:
     return int(found[-1]) + 1 if len(found) else 0
 
 
-def stable_end(text: str, at: int) -> int:
-    """Length, less one, of the piece at the start of text[at:], which is longer than a block."""
+def piece_end(text: str, at: int, end: int) -> int:
+    """Where the piece at text[at:], which is longer than a block, ends."""
     import regex
 
     pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    return pattern.match(text, at).end() - at - 1
+    return pattern.match(text, at, end).end()
 
 
 @lru_cache(1)
@@ -293,24 +409,20 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def sufficient_lookahead(path: str) -> int:
+def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     """So many bytes after a token's end settle that token, whatever follows them.
 
     A merge of u and v is prevented from the right only by an earlier merge of x and y where x is v or a
     last part of v, and that one only by a still earlier merge inside or after y. So in the order of the
     list: reach of (u, v) = the largest len(y) + reach of (x, y) over the earlier merges.
     """
-    with open(path) as f:
-        merges = json.load(f)["model"]["merges"]
-    back = byte_of_symbol()
     ends: dict[str, list[str]] = {}  # a symbol and its last parts
     best: dict[str, int] = {}
     most = longest = 0
-    for merge in merges:
-        u, v = merge if isinstance(merge, list) else merge.split(" ")
+    for u, v in merges:
         tail = ends.setdefault(v, [v])
         reach = max((best.get(x, 0) for x in tail), default=0)
         ends.setdefault(u + v, [u + v, *tail])
-        best[u] = max(best.get(u, 0), sum(c in back for c in v) + reach)
+        best[u] = max(best.get(u, 0), len(v) + reach)
         most, longest = max(most, reach), max(longest, len(u + v))
     return most + longest

@@ -1,7 +1,8 @@
 """Packing of token pieces into sequences by minimum bin slack.
 
-Null and empty texts hold the end token alone. Repeated rows are packed as often as they occur. An empty
-table gives no rows. Further columns of the input are ignored.
+Null and empty texts hold the end token alone; a null doc_id is kept. A text of any length is cut into as many pieces as
+it fills. Repeated rows are packed as often as they occur; of equal lengths the piece that comes first goes first. An
+empty table gives no rows. Further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import Encoder
-from .shared import buckets
+from .bytebpe import encoder
+from .shared import buckets, by_bytes
 
 #: Pieces that one search for full bins chooses from; bounds its memory however many a task gets.
 WINDOW = 1 << 15
+#: Bytes of text encoded at once.
+TEXT = 16 << 20
 
 
 def fill(left: np.ndarray, capacity: int, first: int) -> list[tuple[int, int]]:
@@ -83,9 +86,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFram
     """Each document's ids and end_id, cut into pieces of at most size tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
-        for batch in batches:
-            ids, at = encoder.encode([t or "" for t in batch["text"].to_pylist()])
+        for batch in by_bytes(batches, TEXT):
+            ids, at = encoder(vocabulary).encode([t or "" for t in batch["text"].to_pylist()])
             rows: list[tuple] = []
             for doc, i, j in zip(batch["doc_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = np.append(ids[i:j], end_id).astype("<u4")

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Bytes that part words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -24,22 +26,77 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; on a single machine, where none is set, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_own_shared_dir", None) or tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext._own_shared_dir = found
         found = f"file://{found}"
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which clear deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    held = spark.sparkContext.__dict__.setdefault("_written_paths", [])
+    held.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes what the operators of this session wrote to the shared folder; to be called when their results, which
+    read it, have been used or saved. Returns how many places there were."""
+    held = spark.sparkContext.__dict__.pop("_written_paths", [])
+    for path in held:
+        system, at = fs.FileSystem.from_uri(path)
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            system.delete_dir(at)
+    return len(held)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of an operator's own that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """The name of a column as an expression reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(df: DataFrame, name: str) -> Column:
+    return df[quoted(name)]
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about size bytes of text each; a longer row stands alone."""
+    for batch in batches:
+        texts = batch[name]
+        if not len(batch):
+            continue
+        if texts.nbytes <= size or len(batch) == 1:
+            yield batch
+            continue
+        lengths = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j in chunks(np.concatenate([[0], np.cumsum(lengths)]), size):
+            yield batch.slice(i, j - i)
+
+
 def buckets(spark: SparkSession) -> int:
     """Into how many parts the operators deal their work: as many as the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,9 +1,13 @@
 """Token files: Arrow IPC files whose one column is a fixed-size list of ids, with a mask beside it.
 
 Each task writes one file; its rows are equally long, so that row k of a file is at a known place of its
-memory map. Only a file's last row is padded, and its mask says how many ids are real. Documents are in
-ascending doc_id order over the files' names. A table beside the files holds where each document starts.
-A null text is empty; an empty table writes no files.
+memory map. The mask is a fixed-size list as well: a bit for each id, set where it is real; only a file's last row is
+padded. Documents are in ascending doc_id order over the files' names, nulls first. A table beside the files holds where
+each document starts.
+
+A null text is empty; an empty table writes no files. Rows with the same doc_id follow one another in any order. A text of
+any length goes to the file in parts. Further columns are ignored, whatever their names. A task that is run again writes a
+file of another name; the index names the finished one, and `shared.clear` deletes them all.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import Encoder
-from .shared import buckets, shared_dir, written
+from .bytebpe import encoder
+from .shared import buckets, by_bytes, new_path, written
 
 #: Ids in a row of a file, and rows in a record batch: one batch is what a writer holds.
 WIDTH, ROWS = 2048, 256
+#: Bytes of text encoded at once.
+TEXT = 8 << 20
 INDEX = "part int, file string, doc_id long, file_start long, n_tokens long"
 
 
@@ -35,7 +41,7 @@ class Writer:
         self.system.create_dir(path)
         self.path, self.dtype = f"{path}/{name}", dtype
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, WIDTH)), ("n_real", pa.int32())])
+        self.schema = pa.schema([("ids", pa.list_(kind, WIDTH)), ("mask", pa.list_(pa.bool_(), WIDTH))])
         self.sink = self.system.open_output_stream(self.path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -53,10 +59,9 @@ class Writer:
 
     def _put(self, flat: np.ndarray) -> None:
         rows = -(-len(flat) // WIDTH)
-        real = np.full(rows, WIDTH, np.int32)
-        real[-1] = len(flat) - (rows - 1) * WIDTH
+        real = np.arange(rows * WIDTH) < len(flat)
         flat = np.pad(flat, (0, rows * WIDTH - len(flat)))
-        self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), WIDTH), pa.array(real)], schema=self.schema))
+        self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), WIDTH), pa.FixedSizeListArray.from_arrays(pa.array(real), WIDTH)], schema=self.schema))
 
     def close(self) -> None:
         if self.waiting:
@@ -92,13 +97,11 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        name, encoder, out, at = f"{part:08d}-{uuid.uuid4().hex}.arrow", None, None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            encoder = encoder or Encoder(vocabulary)
-            out = out or Writer(folder, name, np.dtype("u2" if encoder.library.get_vocab_size() <= 1 << 16 else "u4"))
-            ids, upto = encoder.encode([t or "" for t in batch["text"].to_pylist()])
+        name, out, at = f"{part:08d}-{uuid.uuid4().hex}.arrow", None, 0
+        for batch in by_bytes(batches, TEXT):
+            machine = encoder(vocabulary)
+            out = out or Writer(folder, name, np.dtype("u2" if machine.merges.size <= 1 << 16 else "u4"))
+            ids, upto = machine.encode([t or "" for t in batch["text"].to_pylist()])
             ends = np.insert(ids, upto[1:], end_id)
             sizes = np.diff(upto) + 1
             out.add(ends)
@@ -130,9 +133,10 @@ def read_files(index: DataFrame, folder: str) -> DataFrame:
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
     rows = index.join(base, "part").select("file", "doc_id", (F.col("file_start") + F.col("base")).alias("start"), "file_start", "n_tokens")
-    rows = rows.sortWithinPartitions("file", "file_start")
+    # the ids of a file are read by one task, whatever the size of the index
+    rows = rows.repartition(buckets(index.sparkSession), "file").sortWithinPartitions("file", "file_start")
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    return new_path(spark, "tokens")

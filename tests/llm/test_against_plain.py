@@ -14,7 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from quillspark.llm import linededup, ngramjoin, ngramlm, packing, qualityrules, sharding, suffixdedup, tokenfiles, transducer, vectorsearch  # noqa: E402
-from quillspark.llm.bytebpe import Encoder  # noqa: E402
+from quillspark.llm.bytebpe import Encoder, Merges, Transducer, encoder  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 KEY = lambda r: tuple((x is not None, x) for x in r)
