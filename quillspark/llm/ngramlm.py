@@ -1,16 +1,22 @@
-"""Language-model scores from a log-frequency Bloom filter.
-
-Tokens are words and one end per text. Word trigrams lean on bigrams, and these on unigrams, which mix a word's
-probability (0.7) with that of its spelling (byte trigrams in lower case).
-
-Counts of word bigrams and trigrams are held by log-frequency Bloom filters, one for each part of their hashes. The
-number of parts grows with the corpus, so each stays bounded; none is gathered in one place. Each group of texts
-sends its different n-grams to their parts with how often it trains them, and gets back the counts its filter
-holds; unigrams get exact ones the same way. The filter of the spelling is broadcast: it holds at most
-2^24 + 2^16 + 2^8 n-grams, and the base of its levels doubles its exponent until it fits.
+"""Language-model scores from log-frequency Bloom filters of word n-grams.
+
+Tokens are words and one end per text. The probability of a token after two others leans on that after one, and that on the
+unigram's, which mixes the token's share of the corpus (0.7) with its spelling: bytes in lower case after one another, the
+end of a text being the empty word.
+
+Counts of word bigrams and trigrams are held by log-frequency Bloom filters: an n-gram is entered once for each level up
+to that of its count, levels beginning at the half powers of two, rounded up, and probed level by level. A filter that grows with the corpus can't
+be broadcast whole, so there is one for each part of the n-grams' hashes. The number of parts grows with the corpus, so
+each stays bounded, and levels are as fine for any size. Each group of texts sends its different n-grams to their parts
+with how often it trains them, and gets back the levels that the part's filter holds; unigrams get exact counts the same
+way, as the base asks for them. Of a level the least count stands for the n-gram and the greatest for a context, so the
+probabilities of all tokens after a context add up to 1 at most: what quantising takes is lost, never more given out
+than there is (but for false hits of a filter, under 1 in 100). Only the counts of pairs of bytes, 2^16 numbers, go
+to all tasks.
 
 Null and empty texts have the end token alone. A null doc_id counts as held out, as its text is empty.
-Repeated rows are scored each, and count as often as they occur. An empty table gives no rows.
+Repeated rows are scored each, and count as often as they occur. A text of any length is one row of its group. An empty
+table gives no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,46 +30,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, buckets, hash_words, mix, ragged, spans, text_bytes
+from .shared import LOWER, SPACE, buckets, hash_words, mix, ragged, spans, text_bytes
 
 _U = np.uint64
 #: Bytes of text that a task gathers into one group of postings, and documents in it at most.
 GROUP, DOCS = 8 << 20, 65_000
-#: Stand for the end of a word and of a text; words hold neither.
-WORD_END, TEXT_END = 0x20, 0x0A
+#: Stands for both ends of a word; no word holds it.
+WORD_END = 0x20
+#: Bytes of words in lower case, and their end.
+SYMBOLS = 256 - int(SPACE.sum()) - 26 + 1
 
 
 def spelling(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of each word with its end, as (b1 << 16 | b2 << 8 | b3), and where each word's begin."""
-    sizes = end - start + 1
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    b = np.full(int(at[-1]) + 2, WORD_END, np.int32)
+    """The pairs of bytes of each word between its ends, as (b1 << 8 | b2), and where each word's begin."""
+    at = np.concatenate([[0], np.cumsum(end - start + 1)])
+    b = np.full(int(at[-1]) + 1, WORD_END, np.int64)
     inside = np.ones(len(b), bool)
-    inside[:2] = False
-    inside[at[1:] + 1] = False
+    inside[at] = False
     b[inside] = LOWER[data[ragged(start, end - start)]]
-    first, second, third = b[:-2], b[1:-1].copy(), b[2:]
-    heads = at[:-1]
-    first = first.copy()
-    first[heads] = WORD_END
-    second[heads] = WORD_END
-    one = heads[sizes > 1] + 1
-    first[one] = WORD_END
-    return first << 16 | second << 8 | third, at
+    return b[:-1] << 8 | b[1:], at
+
+
+def log_spelling(pairs: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each byte after another, from the counts of pairs; each counts once more."""
+    table = pairs.reshape(256, 256)
+    return np.log10((table + 1.0) / (table.sum(1, keepdims=True) + SYMBOLS)).ravel()
+
+
+#: The least and the greatest count of each level: 1, 2, 3, 4, 6, 8, 12, 16 .. and what is below the next; 0 for level 0.
+LEAST = np.concatenate([[0.0], np.unique(np.ceil(2 ** (np.arange(125) / 2) - 1e-9))])
+GREATEST = np.append(LEAST[1:] - 1, np.inf)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEAST, counts, "right") - 1
 
 
 class CountFilter:
-    """n-grams with counts, each entered once for every level up to that of its count."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, most_bytes: int = 64 << 20, per_entry: int = 10, hashes: int = 7):
-        self.hashes, self.log_base = hashes, 0.5
-        while True:
-            levels = 1 + np.floor(np.log2(np.maximum(counts, 1)) / self.log_base).astype(np.int64)
-            self.bits = max(64, int(levels.sum()) * per_entry)
-            if self.bits <= most_bytes * 8 or self.log_base > 64:
-                break
-            self.log_base *= 2
-        self.top = int(levels.max(initial=0))
+    """n-grams with the levels of their counts, each entered once for every level up to its own."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, per_entry: int = 10, hashes: int = 7):
+        levels = levels_of(counts)
+        self.hashes, self.top = hashes, int(levels.max(initial=0))
+        self.bits = max(64, int(levels.sum()) * per_entry)
         self.data = np.zeros(self.bits // 8 + 1, np.uint8)
         for level in range(1, self.top + 1):
             for at in self._bits(keys[levels >= level], level):
@@ -75,8 +84,8 @@ class CountFilter:
         for k in range(self.hashes):
             yield ((one + _U(k) * two) % _U(self.bits)).astype(np.int64)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the range of the highest level for which all probes hit; 0 if the first misses."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level for which all probes hit, from the first on; 0 if that misses."""
         level = np.zeros(len(keys), np.int64)
         here = np.arange(len(keys))
         for j in range(1, self.top + 1):
@@ -87,22 +96,7 @@ class CountFilter:
             level[here] = j
             if not len(here):
                 break
-        return np.where(level > 0, 2 ** ((level - 1) * self.log_base) * (1 + 2**self.log_base) / 2, 0.0)
-
-
-#: n-grams of one, two and three bytes are told apart by these.
-ONE, TWO, THREE = 0, 1 << 32, 2 << 32
-
-
-def log_spelling(held: CountFilter, trigrams: np.ndarray, total: float, weight: float = 8.0) -> np.ndarray:
-    """log10 of each trigram's last byte after its first two; longer contexts lean on shorter ones with weight."""
-    keys, which = np.unique(trigrams, return_inverse=True)
-    keys = keys.astype(np.int64)
-    tail, last, mid, lead = keys & 0xFFFF, keys & 0xFF, keys >> 8 & 0xFF, keys >> 8
-    p = (held.counts(ONE + last) + 1.0) / (total + 256)
-    p = (held.counts(TWO + tail) + weight * p) / (np.maximum(held.counts(ONE + mid), held.counts(TWO + tail)) + weight)
-    p = (held.counts(THREE + keys) + weight * p) / (np.maximum(held.counts(TWO + lead), held.counts(THREE + keys)) + weight)
-    return np.log10(p)[which]
+        return level
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -153,47 +147,41 @@ def large(data: bytes) -> bytes:
 
 
 def corpus_counts(docs: DataFrame) -> dict:
-    """Of the training rows: tokens, different tokens, texts, and the counts of n-grams of up to three bytes."""
+    """Of the training rows: tokens, different tokens, texts, and the counts of pairs of bytes."""
     n = 2 * buckets(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, tokens, texts = np.zeros(1 << 16, np.int64), 0, 0
         for ids, data, offsets in grouped(batches):
             use = in_training(ids)
             start, end, upto = spans(data, offsets)
             mine = np.repeat(use, np.diff(upto))
             start, end = start[mine], end[mine]
             hashes, one, times = np.unique(hash_words(data, start, end), return_index=True, return_counts=True)
-            trigrams, at = spelling(data, start[one], end[one])
-            keys, which = np.unique(trigrams, return_inverse=True)
-            keys = keys.astype(np.int64)
-            sums = np.bincount(which, np.repeat(times, np.diff(at)), len(keys)).astype(np.int64)
-            rows = [(0, b, blob(h), b"", 0, 0) for b, (h,) in packed((hashes % _U(n)).astype(np.int64), n, [hashes])]
-            rows += [(1, b, blob(k), blob(c), 0, 0) for b, (k, c) in packed(keys % n, n, [keys, sums])]
-            rows.append((2, 0, b"", b"", int(len(start) + use.sum()), int(use.sum())))
-            yield table(rows, "kind int, bucket int, keys binary, counts binary, tokens long, texts long")
+            found, at = spelling(data, start[one], end[one])
+            pairs += np.bincount(found, np.repeat(times, np.diff(at)), 1 << 16).astype(np.int64)
+            tokens, texts = tokens + len(start) + int(use.sum()), texts + int(use.sum())
+            yield table([(b, blob(h), 0, 0) for b, (h,) in packed((hashes % _U(n)).astype(np.int64), n, [hashes])], MERGED)
+        yield table([(-1, small(blob(pairs)), tokens, texts)], MERGED)
 
     def merge(group: pa.Table) -> pa.Table:
-        kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
+        bucket, keys = group["bucket"][0].as_py(), group["keys"].to_pylist()
         tokens, texts = (int(sum(group[c].to_pylist())) for c in ("tokens", "texts"))
-        if kind == 0:
-            seen = np.zeros(0, np.uint64)
-            for x in group["keys"]:
-                seen = np.union1d(seen, np.frombuffer(x.as_py(), np.uint64))
-            return pa.Table.from_batches([table([(kind, bucket, b"", b"", len(seen), 0)], MERGED)])
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group["keys"]])
-        keys, which = np.unique(keys, return_inverse=True)
-        sums = np.bincount(which, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group["counts"]]), len(keys)).astype(np.int64)
-        return pa.Table.from_batches([table([(kind, bucket, blob(keys), blob(sums), tokens, texts)], MERGED)])
-
-    rows = docs.select("doc_id", "text").mapInArrow(count, MERGED).groupBy("kind", "bucket").applyInArrow(merge, MERGED).collect()
-    of = lambda k: [r for r in rows if r["kind"] == k]
-    keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in of(1))])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in of(1))])
-    texts = sum(r["texts"] for r in of(2))
-    return {"tokens": sum(r["tokens"] for r in of(2)), "texts": texts, "types": sum(r["tokens"] for r in of(0)) + (texts > 0), "keys": keys, "counts": counts}
-
-
-MERGED = "kind int, bucket int, keys binary, counts binary, tokens long, texts long"
+        if bucket >= 0:
+            seen = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in keys]))
+            return pa.Table.from_batches([table([(bucket, b"", len(seen), 0)], MERGED)])
+        return pa.Table.from_batches([table([(bucket, blob(sum(np.frombuffer(large(x), np.int64) for x in keys)), tokens, texts)], MERGED)])
+
+    rows = docs.select("doc_id", "text").mapInArrow(count, MERGED).groupBy("bucket").applyInArrow(merge, MERGED).collect()
+    whole = next((r for r in rows if r["bucket"] < 0), None)
+    if whole is None:
+        return {"tokens": 0, "texts": 0, "types": 0, "pairs": np.zeros(1 << 16, np.int64)}
+    pairs = np.frombuffer(whole["keys"], np.int64).copy()
+    pairs[WORD_END << 8 | WORD_END] += whole["texts"]
+    return {"tokens": whole["tokens"], "texts": whole["texts"], "types": sum(r["tokens"] for r in rows if r["bucket"] >= 0) + (whole["texts"] > 0), "pairs": pairs}
+
+
+MERGED = "bucket int, keys binary, tokens long, texts long"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
 
 
@@ -203,23 +191,6 @@ def table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def filter_of(found: dict) -> tuple[CountFilter, float]:
-    """The filter of all n-grams of one, two and three bytes, and the bytes counted."""
-    keys, counts = found["keys"], found["counts"]
-    end = WORD_END << 16 | WORD_END << 8 | TEXT_END
-    keys, counts = np.append(keys, end), np.append(counts, found["texts"])
-    two, w2 = np.unique(keys & 0xFFFF, return_inverse=True)
-    one, w1 = np.unique(keys & 0xFF, return_inverse=True)
-    held = np.concatenate([THREE + keys, TWO + two, ONE + one])
-    times = np.concatenate([counts, np.bincount(w2, counts).astype(np.int64), np.bincount(w1, counts).astype(np.int64)])
-    # a context of two bytes that only stands before others is counted by what follows it
-    lead, w3 = np.unique(keys >> 8, return_inverse=True)
-    new = ~np.isin(TWO + lead, held)
-    held, times = np.append(held, TWO + lead[new]), np.append(times, np.bincount(w3, counts).astype(np.int64)[new])
-    good = times > 0
-    return CountFilter(held[good], times[good]), float(counts.sum())
-
-
 ASKED = "deal int, source long, kind int, keys binary, trained binary"
 ANSWERS = "source long, bucket int, kind int, counts binary"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -275,22 +246,17 @@ def from_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(planes.view(np.uint32).ravel(), dtype=np.uint32)
 
 
-#: The count that a level of the filter stands for.
-LEVELS = np.concatenate([[0.0], 2 ** (np.arange(255) * 0.5) * (1 + 2**0.5) / 2])
-
-
 def after(count: np.ndarray, context: np.ndarray, less: np.ndarray, weight: float) -> np.ndarray:
     """The probability after a context, leaning on that of the shorter context with weight."""
-    return (count + weight * less) / (np.maximum(context, count) + weight)
+    return (np.minimum(count, context) + weight * less) / (context + weight)
 
 
 def scores(docs: DataFrame, share: float = 0.7, weight: float = 4.0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. share: that of exact counts in the
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. share: that of the corpus in the
     unigrams; weight: how much the probability after two words leans on that after one, and that on the unigram's."""
     spark = docs.sparkSession
     found = corpus_counts(docs)
-    held, total = filter_of(found)
-    filters = spark.sparkContext.broadcast(held)
+    spelled = log_spelling(found["pairs"])
     tokens, texts = found["tokens"], found["texts"]
     whole = tokens + 0.1 * (found["types"] + 1)
     n = max(buckets(spark), tokens // PART)
@@ -321,40 +287,42 @@ def scores(docs: DataFrame, share: float = 0.7, weight: float = 4.0) -> DataFram
             counts = np.bincount(which, np.concatenate([np.frombuffer(large(trained[i]), np.uint32) for i in mine]), len(different)).astype(np.int64)
             if own != WORD:
                 seen = counts > 0
-                # the part is bounded by PART, so its filter needs no coarser levels
-                counts = np.searchsorted(LEVELS, 0.99 * CountFilter(different[seen], counts[seen], most_bytes=1 << 40).counts(different)).astype(np.uint8)
+                counts = CountFilter(different[seen], counts[seen]).levels(different).astype(np.uint8)
             answers = np.split(counts[which], np.cumsum([len(a) for a in asked])[:-1])
             out += [(source[i], deal[i], own, small(blob(a))) for i, a in zip(mine, answers, strict=True)]
         return pa.Table.from_batches([table(out, ANSWERS)])
 
     end_base = np.log10(texts + 0.1)
-    end_unigram = float(share * (texts + 0.1) / whole + (1 - share) * 10 ** log_spelling(held, np.array([WORD_END << 16 | WORD_END << 8 | TEXT_END], np.int32), total)[0])
+    end_unigram = float(share * texts / max(tokens, 1) + (1 - share) * 10 ** spelled[WORD_END << 8 | WORD_END])
 
     def finish(group: pa.Table) -> pa.Table:
         cells = {(k, b): x for b, k, x in zip(*(group[c].to_pylist() for c in ("bucket", "kind", "counts")), strict=True)}
         data, offsets = np.frombuffer(large(cells[0, -2]), np.uint8), np.frombuffer(large(cells[0, -1]), np.int64)
         ids, nulls = np.frombuffer(cells[-1, -2], np.int64), np.frombuffer(cells[-1, -1], bool)
-        t, counts = Tokens(data, offsets), {}
+        t, counts, contexts = Tokens(data, offsets), {}, {}
         for kind, here, keys, part, which in t.keys(n):
             order = np.argsort(part, kind="stable")
-            answers = [np.frombuffer(large(cells[kind, b]), np.int64) if kind == WORD else LEVELS[np.frombuffer(large(cells[kind, b]), np.uint8)] for b in range(n) if (kind, b) in cells]
-            of_keys, counts[kind] = np.zeros(len(keys)), np.zeros(len(t.row))
-            of_keys[order] = np.concatenate([np.zeros(0), *answers])
-            counts[kind][here] = of_keys[which]
+            answers = [np.frombuffer(large(cells[kind, b]), np.int64 if kind == WORD else np.uint8) for b in range(n) if (kind, b) in cells]
+            of_keys = np.zeros(len(keys), np.int64)
+            of_keys[order] = np.concatenate([np.zeros(0, np.int64), *answers])
+            held = of_keys[which]
+            for into, value in ((counts, held if kind == WORD else LEAST[held]), (contexts, held if kind == WORD else GREATEST[held])):
+                into[kind] = np.zeros(len(t.row))
+                into[kind][here] = value
             if kind == WORD:
                 one = np.zeros(len(keys), np.int64)
                 one[which] = np.arange(len(which))
-                trigrams, at = spelling(data, t.start[one], t.end[one])
-                spelled = np.add.reduceat(log_spelling(filters.value, trigrams, total), at[:-1])[which] if len(keys) else np.zeros(0)
+                pairs, at = spelling(data, t.start[one], t.end[one])
+                spelt = np.add.reduceat(spelled[pairs], at[:-1])[which] if len(keys) else np.zeros(0)
         rows, mine, known = len(ids), t.row[t.is_word], counts[WORD][t.is_word]
         count = np.bincount(mine, minlength=rows) + 1
         base = np.bincount(mine, np.log10(known + 0.1), rows) + end_base - count * np.log10(whole)
         p = np.full(len(t.row), end_unigram)
-        p[t.is_word] = share * (known + 0.1) / whole + (1 - share) * 10**spelled
-        context = counts[WORD]
+        p[t.is_word] = share * known / max(tokens, 1) + (1 - share) * 10**spelt
+        context = contexts[WORD]
         context[t.first] = context[t.last] = texts
         p[1:] = np.where(t.has_pair[1:], after(counts[PAIR][1:], context[:-1], p[1:], weight), p[1:])
-        p[1:] = np.where(t.has_triple[1:], after(counts[TRIPLE][1:], counts[PAIR][:-1], p[1:], weight), p[1:])
+        p[1:] = np.where(t.has_triple[1:], after(counts[TRIPLE][1:], contexts[PAIR][:-1], p[1:], weight), p[1:])
         score = np.bincount(t.row[t.has_pair], np.log10(p[t.has_pair]), rows)
         seen = np.bincount(mine, known > 0, rows) + (texts > 0)
         return pa.table([pa.array(ids, mask=nulls), pa.array(count.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(np.full(rows, tokens, np.int64)), pa.array(base), pa.array(score)], names=[f.split()[0] for f in SCORES.split(", ")])

@@ -128,14 +128,75 @@ def test_language_model(docs, rows):
     assert all(g["score"] < 0 and math.isfinite(g["score"]) for g in got)
 
 
+def test_scores_against_a_plain_model(docs, rows):
+    """Exact counts in place of the filters' levels; a false hit of a filter may raise a score a little."""
+    share, weight, begin = 0.7, 4.0, "<"
+    texts = [[begin, *WORD.findall(low(r[1])), None] for r in rows]
+    held = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 10 == 0 for r in rows]
+    train = [t for t, h in zip(texts, held, strict=True) if not h]
+    one = collections.Counter(w for t in train for w in t)
+    two = collections.Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    three = collections.Counter(p for t in train for p in zip(t, t[1:], t[2:], strict=False))
+    total = sum(one.values()) - one[begin]
+    ends = lambda w: [32, *("" if w is None else w).encode(), 32]
+    byte = collections.Counter()
+    for w, c in one.items():
+        if w != begin:
+            for p in zip(ends(w), ends(w)[1:], strict=False):
+                byte[p] += c
+    after = collections.Counter()
+    for (x, _), c in byte.items():
+        after[x] += c
+    level = lambda c: int(ngramlm.levels_of(np.array([c]))[0])
+
+    def spelt(w):
+        return math.prod((byte[x, y] + 1) / (after[x] + 225) for x, y in zip(ends(w), ends(w)[1:], strict=False))
+
+    def unigram(w):
+        return share * one[w] / total + (1 - share) * spelt(w)
+
+    def bigram(h, w):
+        return (ngramlm.LEAST[level(two[h, w])] + weight * unigram(w)) / (one[h] + weight)
+
+    def trigram(g, h, w):
+        context = ngramlm.GREATEST[level(two[g, h])]
+        return (ngramlm.LEAST[level(three[g, h, w])] + weight * bigram(h, w)) / (context + weight)
+
+    want = [math.log10(bigram(t[0], t[1])) + sum(math.log10(trigram(*p)) for p in zip(t, t[1:], t[2:], strict=False)) for t in texts]
+    key = collections.defaultdict(list)
+    for r, w, t in zip(rows, want, texts, strict=True):
+        key[r[0], len(t) - 1].append(w)
+    near = total_rows = 0
+    for g in ngramlm.scores(docs).collect():
+        best = min(key[g["doc_id"], g["n_tokens"]], key=lambda w: abs(w - g["score"]))
+        near += abs(best - g["score"]) < 1e-6 * abs(best) + 1e-9
+        total_rows += 1
+        assert abs(best - g["score"]) < 0.02 * abs(best) + 1
+    assert near >= 0.4 * total_rows
+    known = [w for w in one if w != begin]
+    for g, h in [(begin, texts[12][1]), *list(two)[5:200:20]]:
+        if h is not None:
+            assert sum(bigram(h, w) for w in known) <= 1 + 1e-9
+            assert sum(trigram(g, h, w) for w in known) <= 1 + 1e-9
+
+
+def test_spelling_is_a_distribution():
+    symbols = [b for b in range(256) if b not in b"\x20\x09\x0a\x0b\x0c\x0d" and not 65 <= b <= 90] + [32]
+    pairs = np.zeros((256, 256), np.int64)
+    pairs[np.ix_(symbols, symbols)] = np.random.default_rng(4).integers(0, 50, (len(symbols),) * 2)
+    p = 10 ** ngramlm.log_spelling(pairs.ravel()).reshape(256, 256)[np.ix_(symbols, symbols)]
+    assert np.allclose(p.sum(1), 1)
+
+
 def test_filter_counts():
     keys = np.arange(5000)
     counts = np.random.default_rng(2).integers(1, 10**6, 5000)
     held = ngramlm.CountFilter(keys, counts)
-    ratio = held.counts(keys) / counts
-    assert ratio.min() > 0.7 and np.quantile(ratio, 0.97) < 1.5
-    assert (held.counts(keys + 10**6) > 0).mean() < 0.03
-    assert ngramlm.CountFilter(keys, counts, most_bytes=20_000).bits <= 160_000
+    found = held.levels(keys)
+    assert (found >= ngramlm.levels_of(counts)).all() and (found == ngramlm.levels_of(counts)).mean() > 0.97
+    assert (held.levels(keys + 10**6) > 0).mean() < 0.03
+    every = np.arange(1, 3000)
+    assert (ngramlm.LEAST[ngramlm.levels_of(every)] <= every).all() and (ngramlm.GREATEST[ngramlm.levels_of(every)] >= every).all()
 
 
 def test_line_dedup(docs, rows):
