@@ -1,22 +1,31 @@
 """Deletes later copies of runs of lines that repeat, within a document or across documents.
 
-Lines without a word don't count: runs go across them, and those inside a deleted run go with it. A window of
-min_lines lines with a word is a later copy if equal lines stand earlier, in the order of (doc_id, line); each line
-of a later copy goes. With min_words a single line of so many words is a run as well. Windows get their names by prefix doubling over line ids: the
-name of a run is the first place where it occurs, and that of a run twice as long comes from the names of its
-halves. Places with equal names are an interval of the suffix array whose common prefix is that long, and
-adjoining windows make up the maximal runs; the order between intervals isn't needed, so it isn't computed.
+A suffix array over the sequences of line ids, by prefix doubling. Suffixes are ranked by their first line; the rank by
+twice as many lines comes from the ranks of both halves, and doubling goes on with the suffixes whose rank others share,
+until none does. Ranks are places in the order of all keys, by prefix sums over range-partitioned counts. Suffixes of one
+rank are an interval of the array whose common prefix is as long as the ranks tell: a run that repeats. All its places but
+the first, in the order of (doc_id, line), are later copies, and their lines go; what intervals of all lengths mark
+adds up to the maximal runs.
+
+Runs have min_lines lines at least; with min_words a single line of so many words is a run as well. Lines without a word
+don't count: runs go across them, and those inside a deleted run go with it.
 
 A null text has one empty line and comes back null. Rows equal in doc_id and text count as one document and
-get the same result. A null doc_id comes before all others. An empty table gives no rows.
+get the same result. A null doc_id comes before all others. An empty table gives no rows. A document of any length is one
+row of lines. Further columns are kept; n_lines, n_removed and n_runs of docs are replaced by those of the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import column, free_names, written
+from .sharding import with_prefix
+
 WORD = r"[^\x20\x09-\x0D]"
+#: A rank with more than 1 of so many rows is hot; there are no more hot ones than that, so they are broadcast.
+HOT = 1000
 
 
 def lines_of(text: Column) -> Column:
@@ -27,15 +36,25 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def named(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (doc_id, row, n) whose run, told by the columns of by, occurs more than once, with its first place.
+def ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
+    """Of (doc_id, row, n) the rank by the columns of by, if others share it, and the first place with that rank.
 
-    The places of a run are counted by a grouping that sums up before it shuffles, and joined back, so that
-    no task has to hold all the places of a frequent run.
+    Keys are counted by a grouping that sums up before it shuffles. Rows of a hot key find its rank by a broadcast of the
+    at most HOT hot ones, so no task gets all of them.
     """
-    place = F.struct("doc_id", "_row", "n")
-    first = runs.groupBy(*by).agg(F.min(place).alias("name"), F.max(place).alias("last")).where("name != last").drop("last")
-    return runs.join(first, by).drop(*by)
+    place = F.struct("doc_id", "row", "n")
+    keys = suffixes.groupBy(*by).agg(F.count("*").alias("size"), F.min(place).alias("name"), F.max(place).alias("last")).where("name != last").drop("last")
+    keys = written(with_prefix(written(keys, "keys"), by, {"rank": "size"}), "ranks")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    is_hot = F.col("size") > total / HOT
+    hot = keys.where(is_hot).select(*[F.col(c).alias(f"hot_{c}") for c in by], F.col("rank").alias("hot_rank"), F.col("name").alias("hot_name"))
+    rest = keys.where(~is_hot).select(*[F.col(c).alias(f"key_{c}") for c in by], F.col("rank").alias("key_rank"), F.col("name").alias("key_name"))
+    rows = suffixes.join(F.broadcast(hot), [F.col(c) == F.col(f"hot_{c}") for c in by], "left")
+    # what is settled goes anywhere, by its place
+    spread = F.when(F.col("hot_rank").isNull(), F.col(by[0])).otherwise(F.xxhash64("doc_id", "row", "n"))
+    rows = rows.join(rest, (spread == F.col(f"key_{by[0]}")) & (F.col(by[1]) == F.col(f"key_{by[1]}")) & F.col("hot_rank").isNull(), "left")
+    more = [c for c in suffixes.columns if c not in ("doc_id", "row", "n", *by)]
+    return rows.select("doc_id", "row", "n", *more, F.coalesce("hot_rank", "key_rank").alias("rank"), F.coalesce("hot_name", "key_name").alias("name")).where("rank is not null")
 
 
 def has_words(line: Column, n: int) -> Column:
@@ -44,42 +63,48 @@ def has_words(line: Column, n: int) -> Column:
 
 
 def later_copies(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
-    """doc_id, row, n and size (in lines) of runs that occur earlier; n counts the lines with a word."""
+    """doc_id, row, n and size (in lines) of runs that occur earlier; n counts the lines with a word. docs: doc_id, text."""
     line = F.col("line")
     worded = F.filter(lines_of(F.col("text")), lambda x: x.rlike(WORD))
-    each = docs.select("doc_id", row_key().alias("_row"), F.posexplode(worded).alias("n", "line"))
+    each = docs.select("doc_id", row_key().alias("row"), F.posexplode(worded).alias("n", "line"))
     long = [] if min_words is None else [has_words(line, min_words).alias("long")]
-    ids = each.select("doc_id", "_row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"), *long)
-    runs, length = named(ids, ["one", "two"]), 1
-    later = F.struct("doc_id", "_row", "n") != F.col("name")
-    single = runs.where(F.col("long") & later).select("doc_id", "_row", "n", F.lit(1).alias("size")) if long else None
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        halves = runs.select("doc_id", "_row", (F.col("n") - step).alias("n"), F.col("name").alias("second"))
-        both = runs.withColumnRenamed("name", "first").alias("a").join(halves.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._row") == F.col("b._row")) & (F.col("a.n") == F.col("b.n")))
-        runs, length = named(both.select("a.doc_id", "a._row", "a.n", "first", "second"), ["first", "second"]), length + step
-    found = runs.where(later).select("doc_id", "_row", "n", F.lit(min_lines).alias("size"))
-    return found.union(single) if long else found
+    ids = each.select("doc_id", "row", "n", F.xxhash64(line).alias("one"), F.xxhash64(F.lit(1), line, F.length(line)).alias("two"), *long)
+    runs, length = written(ranked(ids, ["one", "two"]), "suffixes"), 1
+    later = F.struct("doc_id", "row", "n") != F.col("name")
+    mark = lambda rows: rows.select("doc_id", "row", "n", F.lit(length).alias("size"))
+    found = mark(runs.where(F.col("long") & later)) if long else mark(runs.where("false"))
+    while True:
+        if length >= min_lines:
+            found = found.union(mark(runs.where(later)))
+        step = length if length >= min_lines else min(length, min_lines - length)
+        ahead = Window.partitionBy("doc_id", "row").orderBy("n").rangeBetween(step, step)
+        both = runs.select("doc_id", "row", "n", F.col("rank").alias("first"), F.max("rank").over(ahead).alias("second")).where("second is not null")
+        runs, length = written(ranked(both, ["first", "second"]), "suffixes"), length + step
+        if not runs.limit(1).count():
+            return found
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with text as what is kept, and n_lines, n_removed and n_runs (maximal deleted runs)."""
-    gone = later_copies(docs, min_lines, min_words).groupBy("doc_id", "_row").agg(F.collect_set(F.struct("n", "size")).alias("_runs"))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_runs")
-    names = docs.columns
-    found = docs.withColumn("_row", row_key())
-    found = found.join(gone, found["doc_id"].eqNullSafe(gone["_gone_id"]) & (found["_row"] == gone["_gone_row"]), "left")
-    lines = lines_of(F.col("text"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i)), "\n")
-    found = found.withColumn("_lines", lines)
-    places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
-    found = found.withColumn("_places", F.when(F.col("_runs").isNotNull(), places))
-    covered = F.transform("_runs", lambda r: F.sequence(F.get("_places", r["n"]), F.get("_places", r["n"] + r["size"] - 1)))
-    found = found.withColumn("_gone", F.array_sort(F.array_distinct(F.flatten(covered))))
-    runs = F.size(F.filter("_gone", lambda n, i: F.coalesce(F.get("_gone", i - 1) != n - 1, F.lit(True))))
+    row, lines, places, gone, runs, other, other_id = free_names(docs, "row", "lines", "places", "gone", "runs", "other", "other_id")
+    marks = later_copies(docs.select("doc_id", "text"), min_lines, min_words)
+    # of runs that begin at one line the longest
+    longest = marks.groupBy("doc_id", "row", "n").agg(F.max("size").alias("size"))
+    held = longest.groupBy(F.col("doc_id").alias(other_id), F.col("row").alias(other)).agg(F.collect_list(F.struct("n", "size")).alias(runs))
+    found = docs.withColumn(row, row_key())
+    found = found.join(held, found["doc_id"].eqNullSafe(held[other_id]) & (found[row] == held[other]), "left")
+    found = found.withColumn(lines, lines_of(F.col("text")))
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD))
+    found = found.withColumn(places, F.when(F.col(runs).isNotNull(), worded))
+    # each start of a longer run has a mark of its own, so min_lines of each are enough
+    covered = F.transform(runs, lambda r: F.sequence(F.get(places, r["n"]), F.get(places, r["n"] + F.least(r["size"], F.lit(max(1, min_lines))) - 1)))
+    found = found.withColumn(gone, F.array_sort(F.array_distinct(F.flatten(covered))))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
+    begun = F.size(F.filter(gone, lambda n, i: F.coalesce(F.get(gone, i - 1) != n - 1, F.lit(True))))
+    whole = F.col(gone).isNull()
     return found.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names if c not in ("n_lines", "n_removed", "n_runs")],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(runs).cast("long").alias("n_runs"),
+        *[F.when(whole, F.col("text")).otherwise(kept).alias("text") if c == "text" else column(found, c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")],
+        F.size(lines).cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+        F.when(whole, 0).otherwise(begun).cast("long").alias("n_runs"),
     )
