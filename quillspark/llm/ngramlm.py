@@ -11,7 +11,7 @@ each stays bounded, and levels are as fine for any size. Each group of texts sen
 with how often it trains them, and gets back the levels that the part's filter holds; unigrams get exact counts the same
 way, as the base asks for them. Of a level the least count stands for the n-gram and the greatest for a context, so the
 probabilities of all tokens after a context add up to 1 at most: what quantising takes is lost, never more given out
-than there is (but for false hits of a filter, under 1 in 100). Only the counts of pairs of bytes, 2^16 numbers, go
+than there is (but for false hits of a filter, 1 in 100 or less). Only the counts of pairs of bytes, 2^16 numbers, go
 to all tasks.
 
 Null and empty texts have the end token alone. A null doc_id counts as held out, as its text is empty.
@@ -69,30 +69,40 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 class CountFilter:
     """n-grams with the levels of their counts, each entered once for every level up to its own."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, per_entry: int = 10, hashes: int = 7):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, per_entry: int = 10, hashes: int = 6):
         levels = levels_of(counts)
         self.hashes, self.top = hashes, int(levels.max(initial=0))
-        self.bits = max(64, int(levels.sum()) * per_entry)
-        self.data = np.zeros(self.bits // 8 + 1, np.uint8)
+        self.mask = _U((1 << max(6, (int(levels.sum()) * per_entry - 1).bit_length())) - 1)
+        bits = np.zeros(int(self.mask) + 1, bool)
         for level in range(1, self.top + 1):
-            for at in self._bits(keys[levels >= level], level):
-                np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            keys, levels = keys[levels >= level], levels[levels >= level]
+            for at in self._bits(keys, level):
+                bits[at] = True
+        self.data = np.packbits(bits, bitorder="little")
 
     def _bits(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        at, step = self._start(keys, level)
+        for _ in range(self.hashes):
+            yield at & self.mask
+            at = at + step
+
+    @staticmethod
+    def _start(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         one = mix(keys.astype(np.uint64) * _U(128) + _U(level))
-        two = mix(one + _U(0x632BE59BD9B4E019)) | _U(1)
-        for k in range(self.hashes):
-            yield ((one + _U(k) * two) % _U(self.bits)).astype(np.int64)
+        return one, one >> _U(32) | _U(1)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level for which all probes hit, from the first on; 0 if that misses."""
         level = np.zeros(len(keys), np.int64)
         here = np.arange(len(keys))
         for j in range(1, self.top + 1):
-            hit = np.ones(len(here), bool)
-            for at in self._bits(keys[here], j):
-                hit &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            here = here[hit]
+            at, step = self._start(keys[here], j)
+            for _ in range(self.hashes):  # what misses is probed no further
+                bit = at & self.mask
+                hit = (self.data[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8) & 1).astype(bool)
+                if not hit.all():
+                    here, at, step = here[hit], at[hit], step[hit]
+                at = at + step
             level[here] = j
             if not len(here):
                 break
@@ -157,7 +167,9 @@ def corpus_counts(docs: DataFrame) -> dict:
             start, end, upto = spans(data, offsets)
             mine = np.repeat(use, np.diff(upto))
             start, end = start[mine], end[mine]
-            hashes, one, times = np.unique(hash_words(data, start, end), return_index=True, return_counts=True)
+            hashes, which, times = np.unique(hash_words(data, start, end), return_inverse=True, return_counts=True)
+            one = np.zeros(len(hashes), np.int64)
+            one[which] = np.arange(len(which))
             found, at = spelling(data, start[one], end[one])
             pairs += np.bincount(found, np.repeat(times, np.diff(at)), 1 << 16).astype(np.int64)
             tokens, texts = tokens + len(start) + int(use.sum()), texts + int(use.sum())

@@ -4,10 +4,12 @@ Statistics come from DataFrame functions alone. The list is learned by sequentia
 a rule is grown on two thirds of them by adding the threshold that gains most, cut back on the other third, and
 kept if it is precise there; the rows that it covers go, and the next rule is learned from the rest.
 
-At most SAMPLE labelled rows, those with the smallest hashes, are used for learning; the driver gets their counts
-by cells of thresholds, never more rows than that. Null texts have no words. Null labels and labels without a
-document take no part; without labels there are no rules and all rows that pass the base are kept. Repeated rows
-are judged each.
+At most SAMPLE labels, those with the smallest hashes, and all rows with their ids are used for learning; the driver gets
+counts by cells of thresholds alone. Null texts have no words. Null labels and labels without a document take no part;
+without labels there are no rules and all rows that pass the base are kept. Repeated rows are judged each. Of rules that
+gain alike the one that covers more goes first, then the later statistic. A text of any length is one array of words. An
+empty table gives no rows. Further columns are kept; those of docs that are named like a result (STATISTICS,
+base_failed, kept) are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ SAMPLE = 20_000
 CUTS = 24
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
-#: Of a long, the lower bits that hold a place and the others that hold a hash.
-_BITS = 20
 
 
 def let(value: Column, body) -> Column:
@@ -45,19 +45,17 @@ def covered(starts: Column) -> Column:
 def repeated_words(words: Column, n: Column) -> Column:
     """Words in windows of three words that occur twice or more.
 
-    Hashes of the windows are sorted with their places; equal neighbours are repeats. Up to 2^20 words, hash and
-    place share a long, which sorts fastest.
+    If the windows' hashes are all different, no window repeats. Otherwise they are sorted with their places, and
+    neighbours with equal hashes are compared by their words.
     """
-    places = F.sequence(F.lit(0), n - 3)
     code = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    mask = F.lit((1 << _BITS) - 1).cast("long")
-    high = lambda x: F.shiftright(x, _BITS)
-    packed = F.sort_array(F.transform(places, lambda i: F.shiftleft(F.shiftright(code(i), _BITS), _BITS).bitwiseOR(i.cast("long"))))
-    near = lambda s, x, i, f: f(F.get(s, i + 1)).eqNullSafe(f(x)) | f(F.get(s, i - 1)).eqNullSafe(f(x))
-    short = let(packed, lambda s: covered(F.sort_array(F.transform(F.filter(s, lambda x, i: near(s, x, i, high)), lambda x: x.bitwiseAND(mask)))))
-    wide = F.sort_array(F.transform(places, lambda i: F.struct(code(i).alias("h"), i.cast("long").alias("i"))))
-    long = let(wide, lambda s: covered(F.sort_array(F.transform(F.filter(s, lambda x, i: near(s, x, i, lambda y: y["h"])), lambda x: x["i"]))))
-    return F.when(n < 3, F.lit(0).cast("long")).when(n < 1 << _BITS, short).otherwise(long)
+    word = lambda x, k: F.get(words, x["i"] + k)
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)), F.lit(False))
+    near = lambda s, x, i: same(F.get(s, i + 1), x) | same(F.get(s, i - 1), x)
+    places = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: near(s, x, i)), lambda x: x["i"]))
+    placed = lambda c: F.sort_array(F.transform(c, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    found = let(F.transform(F.sequence(F.lit(0), n - 3), code), lambda c: F.when(F.size(F.array_distinct(c)) == F.size(c), F.lit(0).cast("long")).otherwise(let(placed(c), lambda s: covered(places(s)))))
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(found)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -110,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rules: int = 8, precision: fl
     """Rules that reject rows of quality 0."""
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).where("not base_failed")
-    rows = rows.select(*[F.expr(e).alias(f) for f, e in FEATURES.items()], (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) > 0).alias("grow")).limit(SAMPLE).cache()
+    rows = rows.select(*[F.expr(e).alias(f) for f, e in FEATURES.items()], (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) > 0).alias("grow")).cache()
     names = [*FEATURES]
     steps = [(i + 0.5) / CUTS for i in range(CUTS)] + [0.99, 0.995, 0.998]
     cuts = {f: sorted({*q}) for f, q in zip(names, rows.approxQuantile(names, steps, 0.001), strict=True)}

@@ -4,15 +4,16 @@ Suffixes are sampled where content says so: of all SEED-byte strings in a window
 the least hash are its anchors. Equal windows have equal anchors, so each repeated window has one at the same
 offset, and only anchors' suffixes need an index. It is dealt by the hash of their first SEED bytes; equal suffixes
 stand side by side in the order of these hashes. Inside each part, every batch of documents gives a sorted array,
-is merge-scanned against the levels there are, and joins them; levels of equal size merge, so that n batches keep
-log n levels.
+is scanned against the levels there are, and joins them; levels of equal size merge, so that n batches keep
+log n levels and cost n log n.
 
 A match at an anchor is settled by a hash of all bytes that windows with the anchor may hold. Where that differs
 but the first bytes agree, a match ends nearby: there the windows of that anchor are compared themselves. Of strings
 that occur often in a batch one is sent on, with a mark that it repeats, so frequent ones don't pile up.
 
 Null texts are empty. Rows equal in doc_id and text are documents of their own, so what they hold repeats. A null
-doc_id is an id like others. An empty table gives no rows.
+doc_id is an id like others. A text of any length is one row of its batch. An empty table gives no rows. Further columns
+are kept; n_bytes, n_removed, n_spans and kept_sha256 of docs are replaced by those of the result.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import buckets, chunks, mix, prefix_hash, span_hash, text_bytes, written
+from .shared import buckets, chunks, column, free_names, mix, prefix_hash, span_hash, text_bytes, written
 
 _U = np.uint64
 #: Bytes of text that a task gathers before it sends its keys on, and documents among them at most.
@@ -92,43 +94,54 @@ def windows(data: np.ndarray, offsets: np.ndarray, near: np.ndarray, size: int,
 
 
 class Levels:
-    """The family of sorted arrays of one part of the index."""
+    """The family of sorted arrays of one part of the index: each entry's first and second key and its number.
+
+    A batch is sorted and scanned against each level, which costs its own length times the logarithm of the level's; levels
+    of equal size merge by their order, so an entry moves once for each doubling. `work` counts the entries touched.
+    """
 
     def __init__(self, n: int):
         self.same, self.near = np.zeros(n, bool), np.zeros(n, bool)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # first key, pair of keys, number
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.work = 0
 
     @staticmethod
-    def _scan(one: np.ndarray, pair: np.ndarray, other: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each entry's pair is in other, and whether its first key is there with another second."""
-        lo, hi = np.searchsorted(other[0], one, "left"), np.searchsorted(other[0], one, "right")
-        here = np.sort(other[1])
-        at = np.minimum(np.searchsorted(here, pair), len(here) - 1)
-        equal = here[at] == pair
-        return equal, hi - lo > equal
+    def _places(level: tuple, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many entries of a level have the first key, the first of them, and where each pair is or would be."""
+        low, high = np.searchsorted(level[0], one, "left"), np.searchsorted(level[0], one, "right")
+        place, active = low.copy(), np.flatnonzero(low < high)
+        left, right, key = low[active], high[active], two[active]
+        while (open_ := left < right).any():  # within these the second keys are in order
+            mid = (left + right) // 2
+            less = open_ & (level[1][np.minimum(mid, len(level[1]) - 1)] < key)
+            left, right = np.where(less, mid + 1, left), np.where(open_ & ~less, mid, right)
+        place[active] = left
+        return high - low, low, place
 
     def add(self, one: np.ndarray, two: np.ndarray, number: np.ndarray) -> None:
         """A batch, whose pairs of keys are all different."""
-        order = np.argsort(one, kind="stable")
-        run = one[order], mix(one[order] ^ mix(two[order])), number[order]
-        same = run[0][1:] == run[0][:-1]
-        self.near[run[2][1:][same]] = True
-        self.near[run[2][:-1][same]] = True
+        order = np.lexsort((two, one))
+        run = one[order], two[order], number[order]
+        alike = run[0][1:] == run[0][:-1]
+        self.near[run[2][1:][alike]] = True
+        self.near[run[2][:-1][alike]] = True
         known = np.zeros(len(one), bool)
         for level in self.levels:
-            equal, near = self._scan(run[0], run[1], level)
-            self.same[run[2][equal]] = True
-            self.near[run[2][near]] = True
+            many, first, at = self._places(level, run[0], run[1])
+            equal = (at < first + many) & (level[1][np.minimum(at, len(level[1]) - 1)] == run[1])
+            self.same[run[2][equal]] = self.same[level[2][at[equal]]] = True
+            others = many > equal
+            self.near[run[2][others]] = True
+            # several entries of one first key have met each other, so they are marked already
+            self.near[level[2][first[others & (many == 1)]]] = True
             known |= equal
-            equal, near = self._scan(level[0], level[1], run)
-            self.same[level[2][equal]] = True
-            self.near[level[2][near]] = True
+            self.work += len(run[0])
         run = tuple(x[~known] for x in run)
         while self.levels and len(self.levels[-1][0]) <= len(run[0]):
             old = self.levels.pop()
-            both = [np.concatenate([a, b]) for a, b in zip(old, run, strict=True)]
-            order = np.argsort(both[0], kind="stable")
-            run = tuple(x[order] for x in both)
+            at = self._places(old, run[0], run[1])[2]
+            run = tuple(np.insert(x, at, y) for x, y in zip(old, run, strict=True))
+            self.work += len(run[0])
         if len(run[0]):
             self.levels.append(run)
 
@@ -284,18 +297,18 @@ def cut(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
 
     A character of which some bytes stay and some go is replaced in text; kept_sha256 is of the bytes.
     """
-    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    fields = [f for f in docs.schema if f.name not in added.split()]
+    added = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
+    fields = [f for f in docs.schema if f.name not in dict(added)]
     names = [f.name for f in fields]
-    held = spans.where("spans is not null").groupBy("doc_id", "row").agg(F.collect_list("spans").alias("_spans"))
-    held = held.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_spans")
-    rows = docs.withColumn("_own_row", row_key())
-    rows = rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["_own_row"] == held["_row"]), "left").select(*names, "_spans")
+    own_row, other, other_row, held_spans = free_names(docs, "own_row", "other", "other_row", "held_spans")
+    held = spans.where("spans is not null").groupBy(F.col("doc_id").alias(other), F.col("row").alias(other_row)).agg(F.collect_list("spans").alias(held_spans))
+    rows = docs.withColumn(own_row, row_key())
+    rows = rows.join(held, rows["doc_id"].eqNullSafe(held[other]) & (rows[own_row] == held[other_row]), "left").select(*[column(docs, c) for c in names], held_spans)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = [], []
-            for text, own in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True):
+            for text, own in zip(batch["text"].to_pylist(), batch[held_spans].to_pylist(), strict=True):
                 data = (text or "").encode()
                 if not own:
                     texts.append(text)
@@ -306,12 +319,11 @@ def cut(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
                 left = b"".join(data[i:j] for i, j in zip([0, *high.tolist()], [*low.tolist(), len(data)], strict=True))
                 texts.append(left.decode(errors="replace"))
                 out.append((len(data), len(data) - len(left), len(low), hashlib.sha256(left).hexdigest()))
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
             more = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64()] * 3 + [pa.string()], strict=True)]
-            yield pa.RecordBatch.from_arrays(columns + more, [*names, *(f.split()[0] for f in added.split(", "))])
+            yield pa.RecordBatch.from_arrays(columns + more, [*names, *dict(added)])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [added])
-    return rows.mapInArrow(remove, schema)
+    return rows.mapInArrow(remove, T.StructType(fields + [T.StructField(n, k) for n, k in added]))
 
 
 def row_key() -> Column:
