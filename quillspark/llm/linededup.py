@@ -20,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column, free_names, written
+from .shared import column, free_names, joined_by_key, written
 from .sharding import with_prefix
 
 WORD = r"[^\x20\x09-\x0D]"
-#: A rank with more than 1 of so many rows is hot; there are no more hot ones than that, so they are broadcast.
-HOT = 1000
 
 
 def lines_of(text: Column) -> Column:
@@ -39,22 +37,12 @@ def row_key() -> Column:
 def ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
     """Of (doc_id, row, n) the rank by the columns of by, if others share it, and the first place with that rank.
 
-    Keys are counted by a grouping that sums up before it shuffles. Rows of a hot key find its rank by a broadcast of the
-    at most HOT hot ones, so no task gets all of them.
+    Keys are counted by a grouping that sums up before it shuffles.
     """
     place = F.struct("doc_id", "row", "n")
     keys = suffixes.groupBy(*by).agg(F.count("*").alias("size"), F.min(place).alias("name"), F.max(place).alias("last")).where("name != last").drop("last")
     keys = written(with_prefix(written(keys, "keys"), by, {"rank": "size"}), "ranks")
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    is_hot = F.col("size") > total / HOT
-    hot = keys.where(is_hot).select(*[F.col(c).alias(f"hot_{c}") for c in by], F.col("rank").alias("hot_rank"), F.col("name").alias("hot_name"))
-    rest = keys.where(~is_hot).select(*[F.col(c).alias(f"key_{c}") for c in by], F.col("rank").alias("key_rank"), F.col("name").alias("key_name"))
-    rows = suffixes.join(F.broadcast(hot), [F.col(c) == F.col(f"hot_{c}") for c in by], "left")
-    # what is settled goes anywhere, by its place
-    spread = F.when(F.col("hot_rank").isNull(), F.col(by[0])).otherwise(F.xxhash64("doc_id", "row", "n"))
-    rows = rows.join(rest, (spread == F.col(f"key_{by[0]}")) & (F.col(by[1]) == F.col(f"key_{by[1]}")) & F.col("hot_rank").isNull(), "left")
-    more = [c for c in suffixes.columns if c not in ("doc_id", "row", "n", *by)]
-    return rows.select("doc_id", "row", "n", *more, F.coalesce("hot_rank", "key_rank").alias("rank"), F.coalesce("hot_name", "key_name").alias("name")).where("rank is not null")
+    return joined_by_key(suffixes, keys, by, ["rank", "name"]).drop(*by)
 
 
 def has_words(line: Column, n: int) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngramlm import grouped
-from .shared import buckets, hash_words, mix, ragged, spans, written
+from .shared import buckets, hash_words, joined_by_key, mix, ragged, spans, written
 
 _U = np.uint64
 BLOCKS = "bucket int, docs binary, row binary, sizes binary, shingles binary"
@@ -200,8 +200,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # only a set that others share whole can equal another; one with shingles of its own is a class of its own
     whole = F.length("shingles") == 8 * F.col("n_shingles")
     able = sets.where("shingles is not null").withColumn("key", F.when(whole, F.sha2("shingles", 256)).otherwise(F.concat(F.lit("own "), F.col("doc_id").cast("string"))))
-    heads = able.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("node"))
-    member = written(able.join(heads, ["key", "n_shingles"]).select("doc_id", "node"), "members")
+    heads = written(able.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "heads")
+    member = written(joined_by_key(able.select("doc_id", "key", "n_shingles"), heads, ["key", "n_shingles"], ["node"]).select("doc_id", "node"), "members")
     classes = written(able.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "shingles"), "classes")
 
     def near(a: str, b: str) -> Column:
@@ -233,10 +233,17 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         last = pairs if last is None else last.union(pairs)
         links = found if links is None else links.union(found)
         state = written(components(classes.select("node"), links), "state")
+    # the product of the first shingles' rows: overlaps of classes that are still apart, summed up, and the ends of what they share
     now = places.join(state, "node")
     one, two = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "place", "component")]) for x in "ab")
-    rest = one.join(two, "shingle").where("node_a < node_b and component_a != component_b").where(near("{}_a", "{}_b"))
-    rest = written(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rest")
+    in_size = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    rest = one.join(two, "shingle").where("node_a < node_b and component_a != component_b").where(in_size)
+    rest = rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("overlap"), *[f(f"place_{x}").alias(f"{n}_{x}") for x in "ab" for n, f in (("begin", F.min), ("end", F.max))])
+    # what lies before the first shared shingle is lost, and what lies behind the last can add no more than there is
+    most = F.col("overlap") + F.least(*[F.col(f"size_{x}") - F.col(f"end_{x}") - 1 for x in "ab"])
+    ahead = F.least(*[F.col(f"size_{x}") - F.col(f"begin_{x}") for x in "ab"])
+    rest = rest.where((100 + percent) * F.least(most, ahead) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    rest = written(rest, "rest")
     found = written(linked(rest, classes, percent), "found")
     if found.limit(1).count():
         links = found if links is None else links.union(found)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that part words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -63,6 +66,27 @@ def clear(spark: SparkSession) -> int:
     return len(held)
 
 
+#: A key with more than 1 of so many rows is hot; there are no more hot ones than that.
+HOT = 1000
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """rows with the columns values of the row of table that has the same key; others go. table holds each key once, with
+    the number of its rows as size, and is read several times.
+
+    The at most HOT hot keys are broadcast, so no task gets all rows of one.
+    """
+    total = table.agg(F.sum("size")).first()[0] or 0
+    is_hot = F.col("size") > total / HOT
+    side = lambda where, mark: table.where(where).select(F.lit(True).alias(mark), *[F.col(c).alias(f"{mark}_{c}") for c in (*by, *values)])
+    found = rows.join(F.broadcast(side(is_hot, "table_hot")), [F.col(c) == F.col(f"table_hot_{c}") for c in by], "left")
+    # rows that are settled go anywhere: each has a key of its own, which no other meets
+    spread = F.when(F.col("table_hot").isNull(), F.xxhash64(*by)).otherwise(F.xxhash64(*rows.columns))
+    rest = side(~is_hot, "table_cold").withColumn("table_hash", F.xxhash64(*[f"table_cold_{c}" for c in by]))
+    found = found.withColumn("table_spread", spread).join(rest, (F.col("table_spread") == F.col("table_hash")) & F.col("table_hot").isNull() & reduce(and_, [F.col(c) == F.col(f"table_cold_{c}") for c in by]), "left")
+    return found.where("table_hot or table_cold").select(*rows.columns, *[F.coalesce(f"table_hot_{c}", f"table_cold_{c}").alias(c) for c in values])
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for columns of an operator's own that no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []
