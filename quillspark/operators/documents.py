@@ -106,7 +106,8 @@ def repeated_edge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later documents whose text, in lower case with single blanks, equals an earlier one's."""
-    sign = F.md5(F.lower(F.regexp_replace("text", "[ \t\n]+", " ")))
+    # blanks are rarely doubled, so the pattern has little to replace
+    sign = F.md5(F.lower(F.regexp_replace(F.translate("text", "\t\n", "  "), " {2,}", " ")))
     rows = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", sign.alias("signature"))
     first = rows.groupBy("signature").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1")
     return rows.join(first, "signature").where("doc_id != first_doc_id").select("doc_id", "first_doc_id")
@@ -156,6 +157,37 @@ def orphan_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.join(source, (F.col("conv_id") == F.col("t_conv")) & (F.col("turn") == F.col("t_turn")), "left_anti").select(F.col("t_conv").alias("conv_id"), (F.col("t_turn") + 1).alias("turn"))
 
 
+def orphaned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose question is gone: every third question is taken away first."""
+    source, target = turns(spark, sf_dir)
+    left = source.where("(conv_id + turn) % 3 > 0")
+    return target.join(left, (F.col("conv_id") == F.col("t_conv")) & (F.col("turn") == F.col("t_turn")), "left_anti").select(F.col("t_conv").alias("conv_id"), (F.col("t_turn") + 1).alias("turn"))
+
+
+def echoed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that repeat the one before, whatever the case: every third turn is replaced so first."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = load(spark, sf_dir, "conversations")
+    rows = rows.withColumn("text", F.when(F.col("turn") % 3 == 2, F.lower(F.lag("text").over(order))).otherwise(F.col("text")))
+    return rows.withColumn("before", F.lag(F.lower("text")).over(order)).where((F.length("text") >= 6) & (F.lower("text") == F.col("before"))).select("conv_id", "turn")
+
+
+#: After an end of a sentence, maybe quoted, and a blank, before a capital or an opening mark; Chinese ends need no blank.
+SPLIT = r"""([.!?]["'”’)]*)\s+([\p{Lu}¿¡"“«(])"""
+CJK = r"([。！？])([^。！？”’])"
+
+
+def sentences_of(rows: DataFrame, text: str) -> DataFrame:
+    """rows with n and sentence for each sentence of a text in any language."""
+    marked = F.regexp_replace(F.regexp_replace(text, SPLIT, "$1\u0001$2"), CJK, "$1\u0001$2")
+    return rows.select("*", F.posexplode(F.split(marked, "\u0001")).alias("n", "sentence")).where("sentence != ''")
+
+
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all languages: how many, and their characters."""
+    return sentences_of(blocks(spark, sf_dir), "block_text").groupBy("lang").agg(F.count("*").alias("sentence_count"), F.sum(F.length("sentence")).alias("n_chars"), F.max(F.length("sentence")).cast("long").alias("longest"))
+
+
 def adjacent_duplicate_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose text, of six characters at least, equals the one before in lower case."""
     order = Window.partitionBy("conv_id").orderBy("turn")
@@ -192,7 +224,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", get(r"<title>([^<]*)</title>").alias("title"), get(r"<h1>([^<]*)</h1>").alias("heading"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("paragraphs"))
 
 
-QUERIES = {f.__name__: f for f in (usage_summary, usage_by_model, usage_per_day, usage_grouping_sets, usage_highlights, latest_run_per_document, history_page, paragraph_blocks, segment_sentences, sentence_chunks, neighbour_context, repeated_edge_text, exact_duplicate_documents, stable_ids, term_containment, regex_rules, alignment_omission, orphan_targets, adjacent_duplicate_segments, target_islands, unified_timeline, reconcile_refresh, page_titles)}
+QUERIES = {f.__name__: f for f in (usage_summary, usage_by_model, usage_per_day, usage_grouping_sets, usage_highlights, latest_run_per_document, history_page, paragraph_blocks, segment_sentences, sentence_chunks, neighbour_context, repeated_edge_text, exact_duplicate_documents, stable_ids, term_containment, regex_rules, alignment_omission, orphan_targets, adjacent_duplicate_segments, orphaned_answers, echoed_segments, sentence_counts, target_islands, unified_timeline, reconcile_refresh, page_titles)}
 
 _SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('::', 'document', doc_id::VARCHAR, source)))"
 SQL = {
@@ -215,6 +247,9 @@ SQL = {
     "alignment_omission": "SELECT conv_id, turn FROM conversations s WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations t WHERE t.role = 'assistant' AND t.conv_id = s.conv_id AND t.turn = s.turn + 1)",
     "orphan_targets": "SELECT conv_id, turn FROM conversations t WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations s WHERE s.role = 'user' AND t.conv_id = s.conv_id AND t.turn = s.turn + 1)",
     "adjacent_duplicate_segments": "SELECT conv_id, turn FROM (SELECT *, lag(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE length(text) >= 6 AND lower(text) = before",
+    "orphaned_answers": "SELECT conv_id, turn FROM conversations t WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations s WHERE s.role = 'user' AND t.conv_id = s.conv_id AND t.turn = s.turn + 1 AND (s.conv_id + s.turn) % 3 > 0)",
+    "echoed_segments": "WITH e AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) ELSE text END AS text FROM conversations) SELECT conv_id, turn FROM (SELECT *, lag(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM e) WHERE length(text) >= 6 AND lower(text) = before",
+    "sentence_counts": f"WITH {BLOCKS}, s AS (SELECT lang, unnest(string_split(regexp_replace(regexp_replace(block_text, '{SPLIT.replace(chr(39), chr(39) * 2)}', '\\1' || chr(1) || '\\2', 'g'), '{CJK}', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS sentence FROM blocks) SELECT lang, count(*) AS sentence_count, sum(length(sentence))::BIGINT AS n_chars, max(length(sentence)) AS longest FROM s WHERE sentence != '' GROUP BY lang",
     "target_islands": "WITH n AS (SELECT *, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, (sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS island FROM n) SELECT conv_id, island, min(turn) AS first_turn, count(*) AS turn_count, min(role) AS role FROM i GROUP BY conv_id, island",
     "unified_timeline": "SELECT 'event' AS kind, event_id AS id, ts AS happened_at FROM events UNION ALL SELECT 'order', o_orderkey, o_orderdate FROM orders ORDER BY happened_at DESC NULLS LAST, kind, id LIMIT 20",
     "reconcile_refresh": "SELECT source, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN quality IS NULL THEN 'gone' ELSE 'kept' END AS state, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL",

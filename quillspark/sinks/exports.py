@@ -42,8 +42,10 @@ def merge_last(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def last_by_id(rows: DataFrame, key: str, order: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+def last_by_id(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of rows with the same key the last by order; of those that tie, the one whose other columns are greatest."""
+    others = [c for c in rows.columns if c not in (key, *order)]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in (*order, *others)]))
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
@@ -52,7 +54,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_texts(rows: DataFrame, key: str, text: str, path: str) -> None:
-    """One folder of text files for each key."""
+    """One folder of text files for each key: for chapters of a book, say, not for millions of keys."""
     rows.select(F.col(key), F.col(text).alias("value")).write.partitionBy(key).text(path)
 
 

@@ -128,7 +128,7 @@ def blocks_of(path: str, content: bytes) -> Iterator[tuple]:
         name = local(node)
         if name in ("title", "creator", "language"):
             about.setdefault(name, (node.text or "").strip())
-        elif name == "item":
+        elif name == "item" and node.get("href"):
             items[node.get("id")] = (posixpath.normpath(posixpath.join(posixpath.dirname(root), unquote(node.get("href")))), node.get("media-type"))
             if "nav" in (node.get("properties") or "").split():
                 titles = contents(book, items[node.get("id")][0])
@@ -154,7 +154,7 @@ def read_epub(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     rows = [*blocks_of(path, content)]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration) as e:
+                except Exception as e:  # whatever is wrong with a book is told in its row, and the others are read
                     rows = [(path, *[None] * 8, f"{type(e).__name__}: {e}", None, None)]
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"chapter": "Int32", "ordinal": "Int32", "repaired": "boolean"})

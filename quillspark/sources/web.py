@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.review import load
 
-HIDDEN = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>"
-INLINE = r"</?(?:a|b|i|em|strong|span|u|code)(?: [^>]*)?>"
-BLOCK = r"<((?:h[1-6]|p|li|blockquote|pre|td|th|figcaption)(?: [^>]*)?>[^<]+)"
+# Fixed values of HTML: what isn't shown, blocks with a text of their own, what else ends a block, and entities.
+HIDDEN = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>"
+OWN = r"h[1-6]|p|li|blockquote|pre|td|th|figcaption"
+ENDS = r"(?i)(</?(?:h[1-6]|p|li|blockquote|pre|td|th|figcaption|html|head|title|body|div|section|article|aside|main|header|footer|nav|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|tr|caption|figure|form|hr)(?:\s[^>]*)?/?>)"
+BREAK = r"(?i)<br\s*/?>"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, ordinal, tag and text of each block with a text of its own; null pages have none."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", HIDDEN, ""), INLINE, ""), "<br ?/?>", " ")
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(bare, F.lit(BLOCK), F.lit(1))).alias("ordinal", "raw"))
-    return rows.select("page_id", "ordinal", F.regexp_extract("raw", "^([a-z]+[1-6]?)", 1).alias("tag"), F.btrim(F.regexp_replace("raw", "^[^>]*>", "")).alias("text"))
+    """page_id, ordinal, tag (in lower case) and text of each block with a text of its own: up to where the next block
+    begins or one ends, tags inside it left out and entities decoded. Null pages have none."""
+    bare = F.regexp_replace(F.regexp_replace("html", HIDDEN, ""), BREAK, " ")
+    parts = F.split(F.regexp_replace(bare, ENDS, "\u0001$1"), "\u0001")
+    def read(part: Column) -> Column:
+        text = F.regexp_replace(part, "<[^>]*>", "")
+        for name, sign in ENTITIES:
+            text = F.replace(text, F.lit(name), F.lit(sign))
+        return F.struct(F.lower(F.regexp_extract(part, rf"^(?i)<({OWN})(?:\s[^>]*)?>", 1)).alias("tag"), F.btrim(text).alias("text"))
+
+    found = F.filter(F.transform(parts, read), lambda b: (b["tag"] != "") & (b["text"] != ""))
+    return pages.select("page_id", F.posexplode(found).alias("ordinal", "b")).select("page_id", "ordinal", "b.tag", "b.text")
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +46,11 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (page_blocks, heading_levels)}
-_BLOCKS = f"""blocks AS (SELECT page_id, ordinal::INT AS ordinal, regexp_extract(raw, '^([a-z]+[1-6]?)', 1) AS tag, trim(regexp_replace(raw, '^[^>]*>', '')) AS text FROM (SELECT page_id, unnest(range(len(a))) AS ordinal, unnest(a) AS raw FROM (
-SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{INLINE}', '', 'g'), '<br ?/?>', ' ', 'g'), '{BLOCK}', 1) AS a FROM pages)))"""
+_DECODED = "regexp_replace(part, '<[^>]*>', '', 'g')"
+for _name, _sign in ENTITIES:
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+_BLOCKS = f"""blocks AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INT AS ordinal, tag, text FROM (SELECT page_id, place, lower(regexp_extract(part, '^(?i)<({OWN})(?:\\s[^>]*)?>', 1)) AS tag, trim({_DECODED}) AS text FROM (SELECT page_id, unnest(range(len(a))) AS place, unnest(a) AS part FROM (
+SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{BREAK}', ' ', 'g'), '{ENDS}', chr(1) || '\\1', 'g'), chr(1)) AS a FROM pages))) WHERE tag != '' AND text != '')"""
 SQL = {
     "page_blocks": f"WITH {_BLOCKS} SELECT page_id, ordinal, tag, text FROM blocks",
     "heading_levels": f"""WITH {_BLOCKS}, h AS (SELECT page_id, ordinal, tag[2:2]::INT AS raw FROM blocks WHERE regexp_matches(tag, '^h[1-6]$')),

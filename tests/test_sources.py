@@ -93,3 +93,28 @@ def test_streams_agree_with_tables(spark, tmp_path):
         query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         assert query.awaitTermination(120)
         assert {tuple(r) for r in spark.table(name).collect()} == {tuple(r) for r in operator(whole).collect()}
+
+
+def test_pages_keep_text_behind_inner_tags(spark):
+    from quillspark.sources import web
+
+    html = "<DIV><P Class='x'>H<sub>2</sub>O is <B>wet</B> &amp; cold&nbsp;!</P></DIV><ul><li><a href='#'>one</a><li>two</ul><p> <p>three<br/>four<!-- no --></p><script>var x = '<p>no</p>'</script>"
+    got = web.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).orderBy("ordinal").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "p", "H2O is wet & cold !"), (1, 1, "li", "one"), (1, 2, "li", "two"), (1, 3, "p", "three four")]
+
+
+def test_a_bad_book_does_not_end_the_job(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "no_href.epub", "w") as z:
+        for name, text in (("META-INF/container.xml", CONTAINER), ("OEBPS/book.opf", PACKAGE.replace('href="two.xhtml"', "")), ("OEBPS/one a.xhtml", ONE), ("OEBPS/bad.xhtml", "<p>open")):
+            z.writestr(name, text)
+    with zipfile.ZipFile(tmp_path / "deep.epub", "w") as z:
+        for name, text in (("META-INF/container.xml", CONTAINER), ("OEBPS/book.opf", PACKAGE), ("OEBPS/one a.xhtml", "<body>" + "<div>" * 9000 + "x" + "</div>" * 9000 + "</body>"), ("OEBPS/bad.xhtml", "<p>open")):
+            z.writestr(name, text)
+    rows = epub.read_epub(spark, str(tmp_path)).collect()
+    assert {r.text for r in rows if "/no_href" in r.path} >= {"One", "open"}
+    assert any("/deep" in r.path for r in rows)
+
+
+def test_last_of_ties_is_the_same_each_time(spark):
+    rows = spark.createDataFrame([(1, "a", 2), (1, "b", 2), (1, "c", 1)], "id long, text string, v int")
+    assert [tuple(r) for r in exports.last_by_id(rows.repartition(3), "id", "v").collect()] == [(1, "b", 2)]
