@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, buckets, hash_words, mix, ragged, spans, text_bytes
+from .shared import LOWER, SPACE, buckets, give_back, hash_words, mix, ragged, spans, text_bytes
 
 _U = np.uint64
 #: Bytes of text that a task gathers into one group of postings, and documents in it at most.
-GROUP, DOCS = 8 << 20, 65_000
+GROUP, DOCS = 6 << 20, 65_000
 #: Stands for both ends of a word; no word holds it.
 WORD_END = 0x20
 #: Bytes of words in lower case, and their end.
@@ -207,7 +207,7 @@ ASKED = "deal int, source long, kind int, keys binary, trained binary"
 ANSWERS = "source long, bucket int, kind int, counts binary"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Tokens of the corpus for each part of the filters, so that parts stay small and their number grows.
-PART = 2_000_000
+PART = 1_500_000
 #: Stand for the begin and the end of a text among the hashes of words; kinds of n-grams.
 BEGIN, END = _U(0x6C62272E07BB0142), _U(0x62B821756295C58D)
 WORD, PAIR, TRIPLE = 1, 2, 3
@@ -285,6 +285,8 @@ def scores(docs: DataFrame, share: float = 0.7, weight: float = 4.0) -> DataFram
                 out += [(b, source, kind, small(blob(k) if kind == WORD else gaps(k)), small(blob(c))) for b, (k, c) in packed(part, n, [keys, trained])]
             yield table(out, ASKED)
             source += 1
+            del t, out
+            give_back()
 
     def meet(group: pa.Table) -> pa.Table:
         deal, source, kind, keys, trained = (group[c].to_pylist() for c in ("deal", "source", "kind", "keys", "trained"))
@@ -302,6 +304,8 @@ def scores(docs: DataFrame, share: float = 0.7, weight: float = 4.0) -> DataFram
                 counts = CountFilter(different[seen], counts[seen]).levels(different).astype(np.uint8)
             answers = np.split(counts[which], np.cumsum([len(a) for a in asked])[:-1])
             out += [(source[i], deal[i], own, small(blob(a))) for i, a in zip(mine, answers, strict=True)]
+            del asked, different, which, counts, answers
+            give_back()
         return pa.Table.from_batches([table(out, ANSWERS)])
 
     end_base = np.log10(texts + 0.1)
@@ -311,30 +315,28 @@ def scores(docs: DataFrame, share: float = 0.7, weight: float = 4.0) -> DataFram
         cells = {(k, b): x for b, k, x in zip(*(group[c].to_pylist() for c in ("bucket", "kind", "counts")), strict=True)}
         data, offsets = np.frombuffer(large(cells[0, -2]), np.uint8), np.frombuffer(large(cells[0, -1]), np.int64)
         ids, nulls = np.frombuffer(cells[-1, -2], np.int64), np.frombuffer(cells[-1, -1], bool)
-        t, counts, contexts = Tokens(data, offsets), {}, {}
+        t, held = Tokens(data, offsets), {}
         for kind, here, keys, part, which in t.keys(n):
             order = np.argsort(part, kind="stable")
             answers = [np.frombuffer(large(cells[kind, b]), np.int64 if kind == WORD else np.uint8) for b in range(n) if (kind, b) in cells]
-            of_keys = np.zeros(len(keys), np.int64)
-            of_keys[order] = np.concatenate([np.zeros(0, np.int64), *answers])
-            held = of_keys[which]
-            for into, value in ((counts, held if kind == WORD else LEAST[held]), (contexts, held if kind == WORD else GREATEST[held])):
-                into[kind] = np.zeros(len(t.row))
-                into[kind][here] = value
+            of_keys = np.empty(len(keys), np.int64 if kind == WORD else np.uint8)
+            of_keys[order] = np.concatenate([of_keys[:0], *answers])
+            held[kind] = np.zeros(len(t.row), of_keys.dtype)
+            held[kind][here] = of_keys[which]
             if kind == WORD:
                 one = np.zeros(len(keys), np.int64)
                 one[which] = np.arange(len(which))
                 pairs, at = spelling(data, t.start[one], t.end[one])
                 spelt = np.add.reduceat(spelled[pairs], at[:-1])[which] if len(keys) else np.zeros(0)
-        rows, mine, known = len(ids), t.row[t.is_word], counts[WORD][t.is_word]
+        rows, mine, known = len(ids), t.row[t.is_word], held[WORD][t.is_word]
         count = np.bincount(mine, minlength=rows) + 1
         base = np.bincount(mine, np.log10(known + 0.1), rows) + end_base - count * np.log10(whole)
         p = np.full(len(t.row), end_unigram)
         p[t.is_word] = share * known / max(tokens, 1) + (1 - share) * 10**spelt
-        context = contexts[WORD]
+        context = held[WORD]
         context[t.first] = context[t.last] = texts
-        p[1:] = np.where(t.has_pair[1:], after(counts[PAIR][1:], context[:-1], p[1:], weight), p[1:])
-        p[1:] = np.where(t.has_triple[1:], after(counts[TRIPLE][1:], contexts[PAIR][:-1], p[1:], weight), p[1:])
+        p[1:] = np.where(t.has_pair[1:], after(LEAST[held[PAIR][1:]], context[:-1], p[1:], weight), p[1:])
+        p[1:] = np.where(t.has_triple[1:], after(LEAST[held[TRIPLE][1:]], GREATEST[held[PAIR][:-1]], p[1:], weight), p[1:])
         score = np.bincount(t.row[t.has_pair], np.log10(p[t.has_pair]), rows)
         seen = np.bincount(mine, known > 0, rows) + (texts > 0)
         return pa.table([pa.array(ids, mask=nulls), pa.array(count.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(np.full(rows, tokens, np.int64)), pa.array(base), pa.array(score)], names=[f.split()[0] for f in SCORES.split(", ")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -176,6 +177,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, so that a worker that has had a large group doesn't hold it in the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Runs of rows [i, j) of about size bytes each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
