@@ -199,10 +199,12 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = written(shared_sets(incidence(docs, k, n), percent / 100, n), "sets")
     # only a set that others share whole can equal another; one with shingles of its own is a class of its own
     whole = F.length("shingles") == 8 * F.col("n_shingles")
-    able = sets.where("shingles is not null").withColumn("key", F.when(whole, F.sha2("shingles", 256)).otherwise(F.concat(F.lit("own "), F.col("doc_id").cast("string"))))
+    able = sets.where("shingles is not null").withColumn("key", F.when(whole, F.unhex(F.sha2("shingles", 256))).otherwise(F.concat(F.lit("own "), F.col("doc_id").cast("string")).cast("binary")))
     heads = written(able.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "heads")
     member = written(joined_by_key(able.select("doc_id", "key", "n_shingles"), heads, ["key", "n_shingles"], ["node"]).select("doc_id", "node"), "members")
-    classes = written(able.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "shingles"), "classes")
+    nodes = written(member.select("node").distinct(), "nodes")
+    # sets stay where they are: rows of nodes alone are picked from what is small
+    classes = able.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "shingles")
 
     def near(a: str, b: str) -> Column:
         """Whether two classes can overlap enough if this shingle is the first that they share: by their sizes, and by
@@ -211,11 +213,11 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         rest = F.least(m - F.col(a.format("place")), n - F.col(b.format("place")))
         return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * rest >= percent * (m + n))
 
-    places = written(firsts(classes, percent), "firsts")
+    places = written(firsts(classes, percent).join(nodes, "node", "left_semi"), "firsts")
     places = written(places.join(places.groupBy("shingle").count().where("count > 1").select("shingle"), "shingle"), "shared")
 
     links = None
-    state = classes.select("node", F.col("node").alias("component"))
+    state = nodes.select("node", F.col("node").alias("component"))
     last = None
     while True:
         now = places.join(state, "node")
@@ -232,22 +234,20 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             break
         last = pairs if last is None else last.union(pairs)
         links = found if links is None else links.union(found)
-        state = written(components(classes.select("node"), links), "state")
-    # the product of the first shingles' rows: overlaps of classes that are still apart, summed up, and the ends of what they share
+        state = written(components(nodes, links), "state")
+    # the product of the first shingles' rows: overlaps of classes that are still apart, summed up
     now = places.join(state, "node")
     one, two = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "place", "component")]) for x in "ab")
-    in_size = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    rest = one.join(two, "shingle").where("node_a < node_b and component_a != component_b").where(in_size)
-    rest = rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("overlap"), *[f(f"place_{x}").alias(f"{n}_{x}") for x in "ab" for n, f in (("begin", F.min), ("end", F.max))])
-    # what lies before the first shared shingle is lost, and what lies behind the last can add no more than there is
+    rest = one.join(two, "shingle").where("node_a < node_b and component_a != component_b").where(near("{}_a", "{}_b"))
+    rest = rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("overlap"), *[F.max(f"place_{x}").alias(f"end_{x}") for x in "ab"])
+    # those that near keeps are the first that two share, so behind the last of them there can be no more than there is
     most = F.col("overlap") + F.least(*[F.col(f"size_{x}") - F.col(f"end_{x}") - 1 for x in "ab"])
-    ahead = F.least(*[F.col(f"size_{x}") - F.col(f"begin_{x}") for x in "ab"])
-    rest = rest.where((100 + percent) * F.least(most, ahead) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    rest = rest.where((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
     rest = written(rest, "rest")
     found = written(linked(rest, classes, percent), "found")
     if found.limit(1).count():
         links = found if links is None else links.union(found)
-        state = written(components(classes.select("node"), links), "state")
+        state = written(components(nodes, links), "state")
     joined = member.join(state, "node").select("doc_id", "component")
     # a class of one component is known by its smallest document
     result = sets.select("doc_id", "n_shingles").join(joined, "doc_id", "left")
