@@ -35,6 +35,13 @@ def test_packing(docs, rows, ids):
     want = collections.Counter((r[0], len(i) + 1, zlib.crc32(np.append(i, 1).astype("<u4"))) for r, i in zip(rows, ids, strict=True) if len(i) < 512)
     assert want == collections.Counter((g["doc_id"], g["doc_tokens"], g["ids_crc32"]) for g in got if g["doc_tokens"] <= 512)
     assert sum(len(i) + 1 for i in ids) == sum(g["length"] for g in got)
+    # each piece of a document that is cut holds its ids from start on
+    whole = collections.defaultdict(list)
+    for r, i in zip(rows, ids, strict=True):
+        whole[r[0], len(i) + 1].append(np.append(i, 1).astype("<u4"))
+    for g in got:
+        assert any(zlib.crc32(i[g["start"] : g["start"] + g["length"]]) == g["ids_crc32"] for i in whole[g["doc_id"], g["doc_tokens"]])
+    assert any(g["start"] > 0 for g in got)
     used = collections.defaultdict(list)
     for g in got:
         used[g["sequence_id"]].append((g["offset"], g["length"]))
@@ -89,6 +96,8 @@ def test_shards(docs, rows):
     for g in got:
         by[g["shard"]].append(g["slot"])
     assert all(sorted(s) == [*range(len(s))] for s in by.values())
+    sizes = [sum(g["size"] for g in got if g["shard"] == k) for k in range(8)]
+    assert all(abs(n - sum(sizes) / 8) <= max(g["size"] for g in got) for n in sizes)
     got.sort(key=lambda g: (g["doc_id"] is not None, g["doc_id"], g["shard"], g["slot"]))
     assert [g["shard"] for g in got] == sorted(g["shard"] for g in got)
 
