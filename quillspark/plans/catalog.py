@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import bundles, decisions, documents, layout, packets, progress, review, rules, structure, texts
+from quillspark.operators import briefs, bundles, decisions, documents, layout, packets, progress, review, rules, structure, texts
 from quillspark.sinks import exports
 from quillspark.sources import web
 from quillspark.streaming import activity
 
-MODULES = (review, documents, packets, progress, structure, rules, texts, decisions, layout, bundles, web, exports, activity)
+MODULES = (review, documents, packets, progress, structure, rules, texts, decisions, layout, bundles, briefs, web, exports, activity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
