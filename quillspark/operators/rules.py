@@ -44,9 +44,17 @@ def issue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues(spark, sf_dir).where(hit).select("issue_id", "issue_type", "layer", "status")
 
 
+def in_scope(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Issues in force: those of the whole book (layer structure), and those of packets in the chapters asked for."""
+    asked = chapters.select("chapter_id").distinct().withColumn("_asked", F.lit(True))
+    return rows.join(asked, "chapter_id", "left").where("layer = 'structure' or (layer = 'packet' and _asked)").drop("_asked")
+
+
 def scoped_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues in force: those of the whole book (layer structure), and those of the first ten chapters."""
-    return issues(spark, sf_dir).where("layer = 'structure' or (layer = 'packet' and chapter_id < 10)").groupBy("layer", "chapter_id").agg(F.count("*").alias("n"))
+    """Issues in force for the chapters whose newest issue is blocking."""
+    rows = issues(spark, sf_dir)
+    asked = rows.groupBy("chapter_id").agg(F.max_by("blocking", F.struct("created_at", "issue_id")).alias("blocked")).where("blocked")
+    return in_scope(rows, asked).groupBy("layer", "chapter_id").agg(F.count("*").alias("n"))
 
 
 def highest_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +238,7 @@ SQL = {
     "document_register": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{w}') THEN '{n}'" for n, w in KINDS) + " ELSE 'general' END AS kind FROM documents",
     "text_excerpts": "WITH t AS (SELECT doc_id, trim(regexp_replace(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(65279), ''), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(t[1:77], ' ') || '...' END AS excerpt FROM t",
     "issue_search": f"WITH {ISSUES} SELECT issue_id, issue_type, layer, status FROM issues WHERE issue_type ILIKE '%ERR%' OR layer ILIKE '%ERR%' OR status ILIKE '%wont%'",
-    "scoped_issues": f"WITH {ISSUES} SELECT layer, chapter_id, count(*) AS n FROM issues WHERE layer = 'structure' OR (layer = 'packet' AND chapter_id < 10) GROUP BY ALL",
+    "scoped_issues": f"WITH {ISSUES}, a AS (SELECT chapter_id FROM issues GROUP BY chapter_id HAVING arg_max(blocking, row(created_at, issue_id))) SELECT layer, chapter_id, count(*) AS n FROM issues WHERE layer = 'structure' OR (layer = 'packet' AND chapter_id IN (FROM a)) GROUP BY ALL",
     "highest_severity": f"WITH {ISSUES} SELECT chapter_id, ['low', 'medium', 'high', 'critical'][max(CASE WHEN blocking AND {_ACTIVE} THEN 4 WHEN blocking THEN 3 WHEN {_ACTIVE} THEN 2 ELSE 1 END)] AS severity FROM issues GROUP BY chapter_id",
     "dominant_types": f"WITH {ISSUES}, c AS (SELECT owner_id, issue_type, count(*) AS n FROM issues GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY n DESC, issue_type) AS place FROM c QUALIFY place <= 3",
     "recent_issues": f"WITH {ISSUES} SELECT chapter_id, issue_id, row_number() OVER (PARTITION BY chapter_id ORDER BY created_at DESC, issue_id DESC) AS place FROM issues QUALIFY place <= 4",
