@@ -84,16 +84,36 @@ HEAT = """heat AS (SELECT *, CASE WHEN heat_score <= 0 THEN 'none' WHEN heat_sco
  (3 * sum(open_count) + 2 * sum(triaged_count) + 4 * sum(active_blocking_count))::BIGINT AS heat_score FROM breakdown GROUP BY chapter_id))"""
 
 
-def queue(found: DataFrame) -> DataFrame:
-    """Chapters with active issues: priority, what drives it, age, SLA state and rank."""
+def queued(found: DataFrame) -> DataFrame:
+    """Chapters with active issues: priority, what drives it, age and SLA state, and what they are ranked by."""
     oldest = found.where(F.col("status").isin(*ACTIVE)).groupBy("chapter_id").agg(F.min("created_at").alias("oldest_active_at"), F.min("owner_id").alias("owner_id"))
     rows = heat(found).join(oldest, "chapter_id")
     priority = F.when(F.col("active_blocking_count") > 0, "immediate").when(F.col("heat_level").isin("high", "critical"), "high").otherwise("medium")
     rows = rows.withColumn("priority", priority).withColumn("sla_hours", F.when(priority == "immediate", 4).when(priority == "high", 24).otherwise(72))
     rows = rows.withColumn("age_hours", F.greatest(F.lit(0), F.floor((F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_timestamp("oldest_active_at")) / 3600)).cast("long"))
     sla = F.when(F.col("age_hours") * 2 < F.col("sla_hours"), "fresh").when(F.col("age_hours") < F.col("sla_hours"), "aging").otherwise("overdue")
-    order = Window.orderBy(F.when(F.col("priority") == "immediate", 0).when(F.col("priority") == "high", 1).otherwise(2), F.desc("heat_score"), F.desc("active_blocking_count"), F.desc("open_count"), "oldest_active_at", "chapter_id")
-    return rows.withColumn("sla_state", sla).select("chapter_id", "owner_id", "priority", "sla_hours", "age_hours", "sla_state", "heat_score", "dominant_type", F.row_number().over(order).alias("queue_rank"))
+    return rows.withColumn("sla_state", sla)
+
+
+def ranked(rows: DataFrame, lead: list[str], fine: list[str], rest: list[Column], name: str) -> DataFrame:
+    """rows with their rank in the order of the columns lead, fine and rest, all ascending, without all rows in one task: rows
+    of equal lead and fine are numbered by themselves, behind the counts of those before. Only the counts of the values of
+    lead, which must be few, are summed up in one task. No column of lead and fine may be null."""
+    counts = rows.groupBy(*lead, *fine).agg(F.count("*").alias("_n"))
+    up_to = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = counts.withColumn("_inside", up_to(Window.partitionBy(*lead).orderBy(*fine))).drop("_n")
+    ahead = counts.groupBy(*lead).agg(F.sum("_n").alias("_n")).withColumn("_ahead", up_to(Window.orderBy(*lead))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*lead, *fine).orderBy(*rest))
+    placed = rows.withColumn("_own", own).join(inside, [*lead, *fine]).join(ahead, lead)
+    return placed.withColumn(name, F.col("_ahead") + F.col("_inside") + F.col("_own")).drop("_ahead", "_inside", "_own")
+
+
+def queue(found: DataFrame) -> DataFrame:
+    """Chapters with active issues: priority, what drives it, age, SLA state and rank."""
+    urgency = F.when(F.col("priority") == "immediate", 0).when(F.col("priority") == "high", 1).otherwise(2)
+    rows = queued(found).withColumns({"_urgency": urgency, "_cool": -F.col("heat_score"), "_calm": -F.col("active_blocking_count"), "_idle": -F.col("open_count"), "_hour": F.date_trunc("hour", "oldest_active_at")})
+    rows = ranked(rows, ["_urgency", "_cool"], ["_calm", "_idle", "_hour"], [F.col("oldest_active_at"), F.col("chapter_id")], "queue_rank")
+    return rows.select("chapter_id", "owner_id", "priority", "sla_hours", "age_hours", "sla_state", "heat_score", "dominant_type", F.col("queue_rank").cast("int").alias("queue_rank"))
 
 
 def chapter_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +129,11 @@ QUEUE = f"""queue AS (SELECT chapter_id, owner_id, priority, sla_hours, age_hour
 
 def owner_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = [count_if(F.col("priority") == p).alias(f"{p}_count") for p in ("immediate", "high", "medium")] + [count_if(F.col("sla_state") == s).alias(f"{s}_count") for s in ("fresh", "aging", "overdue")]
-    return queue(issues(spark, sf_dir)).groupBy("owner_id").agg(F.count("*").alias("chapter_count"), *flags, F.sum("heat_score").alias("heat_score"), F.max("age_hours").alias("oldest_hours"))
+    return queued(issues(spark, sf_dir)).groupBy("owner_id").agg(F.count("*").alias("chapter_count"), *flags, F.sum("heat_score").alias("heat_score"), F.max("age_hours").alias("oldest_hours"))
 
 
 def worklist_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = queue(issues(spark, sf_dir)).select(F.explode(F.array(F.struct(F.lit("priority").alias("kind"), F.col("priority").alias("value")), F.struct(F.lit("sla").alias("kind"), F.col("sla_state").alias("value")))).alias("c"))
+    rows = queued(issues(spark, sf_dir)).select(F.explode(F.array(F.struct(F.lit("priority").alias("kind"), F.col("priority").alias("value")), F.struct(F.lit("sla").alias("kind"), F.col("sla_state").alias("value")))).alias("c"))
     return rows.groupBy("c.kind", "c.value").agg(F.count("*").alias("chapter_count"))
 
 

@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from quillspark.operators import briefs, lifecycle, repairs
+from quillspark.operators import briefs, lifecycle, repairs, review
 
 
 def rows(frame, *names):
@@ -132,3 +132,12 @@ def test_packets_built_again(spark):
     packets = spark.createDataFrame([("p", 1, 1), ("p", 1, 2), ("q", 2, 1)], "packet_id string, chapter_id int, version int")
     got = lifecycle.rebuilt(packets, spark.createDataFrame([(1,), (1,), (None,)], "chapter_id int"))
     assert rows(got, "packet_id", "version", "state") == [("p", 1, "superseded"), ("p", 2, "superseded"), ("p", 3, "current"), ("q", 1, "current")]
+
+
+def test_ranks_as_one_window(spark):
+    from pyspark.sql import functions as F
+    given = sorted((i % 3, i * 7 % 4, (i * 5 + i * i) % 6, i) for i in range(200))
+    got = review.ranked(spark.createDataFrame(given, "a int, b int, c int, id int").repartition(5), ["a"], ["b"], [F.col("c"), F.col("id")], "rank")
+    assert [r[1:] for r in rows(got, "rank", "a", "b", "c", "id")] == given
+    assert [r[0] for r in rows(got, "rank")] == list(range(1, 201))
+    assert review.ranked(spark.createDataFrame([], "a int, b int, c int, id int"), ["a"], ["b"], [F.col("id")], "rank").count() == 0
