@@ -106,8 +106,9 @@ def repeated_edge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later documents whose text, in lower case with single blanks, equals an earlier one's."""
-    # blanks are rarely doubled, so the pattern has little to replace
-    sign = F.md5(F.lower(F.regexp_replace(F.translate("text", "\t\n", "  "), " {2,}", " ")))
+    # blanks are rarely doubled, so few texts need the pattern
+    flat = F.replace(F.replace(F.lower("text"), F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    sign = F.md5(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat))
     rows = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", sign.alias("signature"))
     first = rows.groupBy("signature").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1")
     return rows.join(first, "signature").where("doc_id != first_doc_id").select("doc_id", "first_doc_id")
