@@ -124,12 +124,14 @@ def agreed_tokens(rows: DataFrame, pattern: str, stop: tuple[str, ...] = (), lea
     """Of each term in rows (term, place, text) the token that all of its first `examples` texts by place hold, the longest
     one, then the first by letters; null if there is none. Tokens are what pattern finds, of least to most characters."""
     taken = rows.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("place"))).where(F.col("n") <= examples)
-    tokens = taken.select("term", "n", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("token"))
-    tokens = tokens.where(F.length("token").between(least, most) & ~F.col("token").isin(*stop) if stop else F.length("token").between(least, most))
-    held = tokens.groupBy("term", "token").agg(F.count("*").alias("held"))
-    asked = taken.groupBy("term").agg(F.count("*").alias("example_count"))
-    best = asked.join(held, "term").where("held = example_count").groupBy("term").agg(F.min_by("token", F.struct(-F.length("token"), "token")).alias("token"))
-    return asked.join(best, "term", "left").select("term", "example_count", "token")
+    # all that follows is grouped by term, so the rows are shuffled once, and at most `examples` of each term
+    taken = taken.withColumn("example_count", F.count("*").over(Window.partitionBy("term")))
+    viable = lambda x: F.length(x).between(least, most) & (~x.isin(*stop) if stop else F.lit(True))
+    tokens = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), viable))
+    held = taken.select("term", "example_count", F.explode_outer(tokens).alias("token")).groupBy("term", "example_count", "token").agg(F.count("*").alias("held"))
+    agreed = F.col("token").isNotNull() & (F.col("held") == F.col("example_count"))
+    best = F.min_by(F.when(agreed, F.col("token")), F.when(agreed, F.struct(-F.length("token"), "token")))
+    return held.groupBy("term").agg(F.first("example_count").alias("example_count"), best.alias("token"))
 
 
 def discourse_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
