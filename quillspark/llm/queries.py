@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digestindex, linededup, ngramjoin, ngramlm, packing, periodicruns, qualityrules, sharding, suffixdedup, tokenfiles, transducer, vectorsearch
+from . import digestindex, linededup, ngramjoin, ngramlm, packing, periodicruns, phrases, qualityrules, sharding, suffixdedup, tokenfiles, transducer, vectorsearch
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -64,6 +64,10 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorsearch.neighbours(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digestindex.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -106,6 +110,15 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM r LEFT JOIN z ON z.doc_id = a GROUP BY a""",
+    "op11_phrases": r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 6) AS r(m) WHERE len(w) >= m)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, g, f AS a, k, g[1:k] AS x, g[k + 1:len(g)] AS y FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1)),
+s AS (SELECT c.lang, c.g, a, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM c JOIN f l ON l.lang = c.lang AND l.g = x JOIN f r ON r.lang = c.lang AND r.g = y JOIN n ON n.lang = c.lang QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1),
+o AS (SELECT lang, g[i:i + m - 1] AS g, max(f) AS longer FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS i FROM f, range(2, 5) AS r(m) WHERE len(g) > m) GROUP BY ALL)
+SELECT s.lang, row_number() OVER w AS rank, array_to_string(s.g, ' ') AS phrase, a, l, r, n, score FROM s LEFT JOIN o ON o.lang = s.lang AND o.g = s.g WHERE longer IS NULL OR 100 * longer < 100 * a WINDOW w AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(array_to_string(s.g, ' '))) QUALIFY rank <= 2000""",
     "op12_digest_index": """WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM t WINDOW w AS (PARTITION BY text_sha256)""",
 }

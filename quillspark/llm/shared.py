@@ -195,10 +195,10 @@ def chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the n+1 offsets of each row's words."""
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the n+1 offsets of each row's words. space: which bytes part words."""
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~SPACE[data]
+    inside[:-1] = ~space[data]
     change = inside.copy()
     change[1:] = inside[1:] & ~inside[:-1]
     firsts = offsets[:-1][np.diff(offsets) > 0]
