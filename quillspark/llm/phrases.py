@@ -241,7 +241,9 @@ class Trie:
                 if seen % 256 == 0:
                     free = np.flatnonzero(~used[:top])
                 seen += 1
-                spots = free[: max(1, (1 << 15) // len(own))] - own[0]
+                # spots from all over the array, as the first free ones are mostly single holes
+                step = max(1, len(free) * len(own) >> 12)
+                spots = free[seen % step :: step] - own[0]
                 fits = ~used[spots[:, None] + own].any(1) if len(spots) else np.zeros(0, bool)
                 at = spots[np.argmax(fits)] if fits.any() else top - own[0]
             slot[children] = at + own
