@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import briefs, bundles, decisions, documents, layout, lifecycle, packets, progress, repairs, review, rules, structure, texts
+from quillspark.operators import briefs, bundles, chapters, decisions, documents, layout, lifecycle, packets, progress, repairs, review, rules, structure, texts
 from quillspark.sinks import exports, patches, sidecars
 from quillspark.sources import web
 from quillspark.streaming import activity
 
-MODULES = (review, documents, packets, progress, structure, rules, texts, decisions, layout, bundles, briefs, lifecycle, repairs, web, exports, patches, sidecars, activity)
+MODULES = (review, documents, packets, progress, structure, rules, texts, decisions, layout, bundles, briefs, chapters, lifecycle, repairs, web, exports, patches, sidecars, activity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
