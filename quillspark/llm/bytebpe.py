@@ -19,12 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from .shared import mix, powers, ragged
+from .shared import prefix_hash, ragged, span_hash
 
 LETTER, NUMBER, OTHER, WHITE = range(4)
 BLOCK = 1 << 19
 _U = np.uint64
-_BASE = 0xD1342543DE82EF95
 _APOSTROPHE = 39
 
 
@@ -269,11 +268,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         start = piece_starts(points, bounds[:-1])
         end = np.append(start[1:], n)
-        prefix = np.empty(n + 1, np.uint64)
-        prefix[0] = 0
-        np.cumsum(classes()[1][points] * powers(_BASE, n), out=prefix[1:])
-        inverse = powers(pow(_BASE, -1, 2**64), n + 1)
-        hashes = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+        hashes = span_hash(prefix_hash(classes()[1][points]), start, end)
         different, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         found = self._pieces(different, whole, points, start[one], end[one])
         starts, sizes = found.at[:-1], np.diff(found.at)

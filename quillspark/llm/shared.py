@@ -24,7 +24,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+PRIME = _U(2**31 - 1)
+_BASES = (1_103_515_245, 1_816_238_993)
 _TABLES = {s: np.random.default_rng(s).integers(1, 2**64, 256, dtype=np.uint64) for s in (7, 11)}
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -127,15 +128,20 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2^62."""
+    x = (x & PRIME) + (x >> _U(31))
+    x = (x & PRIME) + (x >> _U(31))
+    x[x == PRIME] = 0
+    return x
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; the table is kept and grows by doubling."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _POWERS[base] = have
+    """base^0 .. base^(n-1) modulo PRIME; the table is kept and grows by doubling."""
+    have = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, folded(have * _U(pow(base, len(have), int(PRIME))))])
+    _POWERS[base] = have
     return have[:n]
 
 
@@ -147,20 +153,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(values: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Prefix sums from which span_hash gives the hash of any span of bytes (or of 64-bit values)."""
+    """Prefix sums, for each of two bases, from which span_hash gives the hash of any span of bytes (or of 64-bit values).
+
+    Polynomials modulo a prime: modulo a power of two, strings built by doubling would have one hash whatever the base.
+    """
     n = len(values)
-    v = _TABLES[seed][values] if values.dtype == np.uint8 else values * _U(_BASE * seed & (2**64 - 1) | 1)
-    v *= powers(_BASE, n)
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(v, out=out[1:])
+    wide = _TABLES[seed][values] if values.dtype == np.uint8 else mix(values ^ _U(seed))
+    out = np.zeros((2, n + 1), np.uint64)
+    for k, base in enumerate(_BASES):
+        np.cumsum(folded((wide >> _U(33 * k) & PRIME) * powers(base, n)), out=out[k, 1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans [start, end); equal contents give equal hashes wherever they stand."""
-    inverse = powers(pow(_BASE, -1, 2**64), len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """62-bit hashes, spread over 64 bits, of spans [start, end); equal contents give equal hashes wherever they stand."""
+    both = []
+    for k, base in enumerate(_BASES):
+        inverse = powers(pow(base, -1, int(PRIME)), prefix.shape[1])
+        both.append(folded(folded(prefix[k][end] - prefix[k][start]) * inverse[start]))
+    return mix((both[0] | both[1] << _U(31)) + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
