@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,34 +17,39 @@ SHORT, MOST, ROOM = 420, 3, 900
 FONT = 12.0
 
 
-def groups_of(lengths: list[int]) -> Iterator[int]:
-    """For each block the place of the first block of its group; a long block stands alone."""
-    first, count, total = -1, 0, 0
-    for place, n in enumerate(lengths):
-        if first < 0 or n > SHORT or count == MOST or total + n > ROOM:
-            first, count, total = place, 0, 0
-        count, total = count + 1, total + n
-        yield first
-        if n > SHORT:
-            first = -1
+def greedy_groups(rows: DataFrame, key: str, order: str, size: str, longest: int, short: int = SHORT, most: int = MOST, room: int = ROOM) -> DataFrame:
+    """rows with first, the place (from 0, by order) of the first of the group that each is in, and place: neighbours of a
+    key that are at most `short` form groups of at most `most` and of at most `room` in all, filled greedily from the first
+    on; a longer one stands alone. longest: at least the greatest number of rows of a key.
+
+    How far a group reaches that begins at a row is known from the `most` - 1 rows behind it. So a row is a map from how many
+    rows lie between it and the next begin to the same for the row behind it, and what holds at each row is all maps before
+    it upon 0. The maps are composed by doubling: each step takes the map from as many rows before as have been composed.
+    Windows of one order do it all; a key of any size is never in one row.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    n = F.col(size)
+    behind = F.collect_list(size).over(w.rowsBetween(1, most - 1))
+    step = lambda a, x: F.struct((a["goes_on"] & (x <= short) & (a["sum"] + x <= room)).alias("goes_on"), (a["sum"] + x).cast("long").alias("sum"), (a["span"] + F.when(a["goes_on"] & (x <= short) & (a["sum"] + x <= room), 1).otherwise(0)).alias("span"))
+    span = F.aggregate("behind", F.struct((n <= short).alias("goes_on"), n.cast("long").alias("sum"), F.lit(1).alias("span")), step)["span"]
+    found = rows.withColumns({"place": (F.row_number().over(w) - 1).cast("long"), "behind": behind})
+    found = found.withColumn("maps", F.concat(F.array(span - 1), F.array([F.lit(k) for k in range(most - 1)])))
+    done = 1
+    while done < longest:
+        before = F.lag("maps", done).over(w)
+        found = found.withColumn("maps", F.coalesce(F.transform(before, lambda k: F.get("maps", k)), F.col("maps")))
+        done *= 2
+    begins = F.coalesce(F.get(F.lag("maps").over(w), F.lit(0)) == 0, F.lit(True))
+    return found.withColumn("begins", begins).withColumn("first", F.last(F.when(F.col("begins"), F.col("place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("behind", "maps", "begins")
 
 
 def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of neighbouring short blocks, filled greedily: each depends on the one before, so a task folds a document."""
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                sizes = [len(x) for x in text.split("\n") if x]
-                found: dict[int, list[int]] = {}
-                for n, first in zip(sizes, groups_of(sizes), strict=True):
-                    found.setdefault(first, []).append(n)
-                rows += [(doc_id, first, len(g), sum(g)) for first, g in found.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "first_block", "block_count", "n_chars"])
-
-    docs = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    return docs.mapInPandas(fold, "doc_id long, first_block long, block_count long, n_chars long")
+    """Groups of neighbouring short blocks, filled greedily."""
+    docs = load(spark, sf_dir, "documents")
+    longest = docs.agg(F.max(F.size(F.split("text", "\n")))).first()[0] or 0
+    rows = blocks(spark, sf_dir).select("doc_id", "ordinal", F.length("block_text").alias("n"))
+    found = greedy_groups(rows, "doc_id", "ordinal", "n", longest)
+    return found.groupBy("doc_id", F.col("first").alias("first_block")).agg(F.count("*").alias("block_count"), F.sum("n").alias("n_chars"))
 
 
 def is_heading() -> Column:
