@@ -103,10 +103,17 @@ def ends_like_continuation(text: Column) -> Column:
 
 
 def longest_common(a: Column, b: Column) -> Column:
-    """The longest string that both hold, the first in a of several. For terms: it looks at all strings within a."""
+    """The longest string that both hold, the first in a of several; of any length.
+
+    If they share a string of some length, they share shorter ones, so the length is found bit by bit from above; for each
+    the strings of that length within a are looked up in b.
+    """
     n = F.length(a)
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(a, i, k))))
-    return F.aggregate(F.filter(every, lambda s: F.contains(b, s)), F.lit(""), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best))
+    at = lambda size: F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
+    shared = lambda size: (size <= n) & (size <= F.length(b)) & F.exists(at(size), lambda i: F.contains(b, F.substring(a, i, size)))
+    bits = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda x: x <= n)
+    longest = F.aggregate(bits, F.lit(0), lambda size, x: F.when(shared(size + x), size + x).otherwise(size))
+    return let(longest, lambda size: F.when(size == 0, F.lit("")).otherwise(F.element_at(F.filter(F.transform(at(size), lambda i: F.substring(a, i, size)), lambda s: F.contains(b, s)), 1)))
 
 
 def code_language(kind: Column, text: Column) -> Column:

@@ -75,7 +75,7 @@ def merged_html(rows: DataFrame) -> DataFrame:
 def open_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters and whether they have an open blocking issue: what stands in an IN list is a semi join."""
     rows = issues(spark, sf_dir)
-    held = rows.where("status = 'open' and blocking and k > 90").select("chapter_id").distinct().withColumn("open", F.lit(True))
+    held = rows.where("status = 'open' and blocking").select("chapter_id").distinct().withColumn("open", F.lit(True))
     return rows.select("chapter_id").distinct().join(held, "chapter_id", "left").select("chapter_id", F.coalesce("open", F.lit(False)).alias("has_open_blocking"))
 
 
@@ -130,15 +130,16 @@ def chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages by the source of the document with the page's number; pages without one are unassigned."""
     links = F.size(F.regexp_extract_all("html", F.lit("(<a )"), F.lit(1)))
     rows = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), links.alias("links"))
-    named = load(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "source")
+    named = load(spark, sf_dir, "documents").select("doc_id", "source")
     rows = rows.join(named, "doc_id", "left").groupBy(F.coalesce("source", F.lit("unassigned")).alias("chapter"))
     return rows.agg(F.count("*").alias("page_count"), F.sum("links").alias("links"))
 
 
 def block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each kind of block on pages: how many, on how many pages and which, and how many have a link's text before them."""
+    """Of each kind of block on pages: how many, on how many pages and which (as the sum of their numbers), and how many are
+    long."""
     rows = html_blocks(load(spark, sf_dir, "pages"))
-    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("page_count"), F.md5(F.array_join(F.array_sort(F.collect_set(F.col("page_id").cast("string"))), ",")).alias("pages"), F.count_if(F.length("text") > 40).alias("long_count"))
+    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("page_count"), F.sum_distinct("page_id").alias("pages"), F.count_if(F.length("text") > 40).alias("long_count"))
 
 
 def usage_by_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,9 +223,9 @@ def concept_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chapter_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages of conversations: questions with their answers, and the issues of the chapter with the same number."""
     rows = load(spark, sf_dir, "conversations")
-    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.left("text", F.lit(30)).alias("target"))
-    said = rows.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(30)).alias("source")).join(answers, ["conv_id", "turn"])
-    found = issues(spark, sf_dir).where("k > 97").select("chapter_id", "issue_id", "issue_type")
+    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    said = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source")).join(answers, ["conv_id", "turn"])
+    found = issues(spark, sf_dir).select("chapter_id", "issue_id", "issue_type")
     made = review_packages(said.select(F.col("conv_id").alias("chapter_id"), F.col("turn").alias("n"), "source", "target"), found)
     read = F.from_json("package", "sentences array<struct<n: bigint, source: string, target: string>>, issues array<struct<issue_id: bigint, issue_type: string>>").alias("p")
     size = lambda c: F.size(f"p.{c}").cast("long")
@@ -242,15 +243,15 @@ QUERIES = {f.__name__: f for f in (open_blocking, scoped_orders, runs_by_chapter
 
 _safe = lambda x: f"replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 SQL = {
-    "open_blocking": f"WITH {ISSUES} SELECT chapter_id, bool_or(status = 'open' AND blocking AND k > 90) AS has_open_blocking FROM issues GROUP BY chapter_id",
+    "open_blocking": f"WITH {ISSUES} SELECT chapter_id, bool_or(status = 'open' AND blocking) AS has_open_blocking FROM issues GROUP BY chapter_id",
     "scoped_orders": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events WHERE event_type = 'error')",
     "runs_by_chapter": f"WITH {RUNS} SELECT c_mktsegment, count(*) AS run_count, sum(cost)::DOUBLE AS cost FROM runs JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "aligned_rows": "SELECT s.conv_id * 1000 + s.turn AS sentence_id, t.conv_id * 1000 + t.turn AS segment_id, event_id AS run_id, event_type, length(s.text) AS source_size, length(t.text) AS target_size FROM conversations s JOIN conversations t ON t.conv_id = s.conv_id AND t.turn = s.turn + 1 AND t.role = 'assistant' JOIN events ON event_id = s.conv_id WHERE s.role = 'user'",
     "document_history": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'error') AS errors, (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'purchase') AS purchases FROM customer",
     "suggestion_edges": "SELECT s.conv_id * 100 + s.turn // 4 AS suggestion_id, s.conv_id * 1000 + s.turn AS source_id, t.conv_id * 1000 + t.turn AS target_id FROM conversations s JOIN conversations t ON t.conv_id = s.conv_id AND t.turn // 4 = s.turn // 4 AND t.role = 'assistant' WHERE s.role = 'user'",
     "remapped_captions": f"WITH {BLOCKS} SELECT c.doc_id, c.ordinal, CASE WHEN b.doc_id IS NOT NULL THEN b.doc_id * 100000 + b.ordinal END AS target_id FROM blocks c LEFT JOIN blocks b ON b.doc_id = c.doc_id AND b.ordinal = c.ordinal - 1 AND length(b.block_text) > 60 WHERE length(c.block_text) <= 60",
-    "chapter_pages": "SELECT coalesce(source, 'unassigned') AS chapter, count(*) AS page_count, sum(len(regexp_extract_all(html, '<a ')))::BIGINT AS links FROM pages LEFT JOIN documents ON page_id = doc_id AND doc_id % 3 > 0 GROUP BY 1",
-    "block_summary": f"WITH {PAGE_BLOCKS} SELECT tag, count(*) AS n, count(DISTINCT page_id) AS page_count, md5(string_agg(DISTINCT page_id::VARCHAR, ',' ORDER BY page_id::VARCHAR)) AS pages, count(*) FILTER (length(text) > 40) AS long_count FROM blocks GROUP BY tag",
+    "chapter_pages": "SELECT coalesce(source, 'unassigned') AS chapter, count(*) AS page_count, sum(len(regexp_extract_all(html, '<a ')))::BIGINT AS links FROM pages LEFT JOIN documents ON page_id = doc_id GROUP BY 1",
+    "block_summary": f"WITH {PAGE_BLOCKS} SELECT tag, count(*) AS n, count(DISTINCT page_id) AS page_count, sum(DISTINCT page_id)::BIGINT AS pages, count(*) FILTER (length(text) > 40) AS long_count FROM blocks GROUP BY tag",
     "usage_by_worker": "SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INT) % 3 AS worker, count(*) AS run_count, round(sum(value::DECIMAL(18,4))::DOUBLE, 4) AS cost FROM events GROUP BY ALL",
     "approximate_counts": "SELECT event_type, count(DISTINCT user_id) AS users, true AS count_is_near, true AS median_is_near FROM events GROUP BY 1",
     "event_page": "SELECT event_id, count(*) OVER () AS total, 60 < count(*) OVER () AS has_more FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40",
@@ -262,7 +263,7 @@ SQL = {
     "open_questions": "WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) SELECT conv_id, count(*) FILTER (role = 'user' AND after IS DISTINCT FROM 'assistant') AS open_count, CASE WHEN open_count > 0 THEN 'CONTEXT_FAILURE' END AS issue FROM n GROUP BY conv_id HAVING count(*) > 1",
     "concept_issues": """WITH w AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS term FROM conversations), s AS (SELECT conv_id, term, count(*) AS seen, min(turn) AS first FROM w GROUP BY ALL HAVING count(*) >= 2), l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z]{8,}')) AS term FROM pages), t AS (SELECT conv_id, count(*) AS turns FROM conversations WHERE text IS NOT NULL GROUP BY 1)
 SELECT conv_id, term, seen, term NOT IN (SELECT term FROM l) AS unlocked, first > 0 AND turns >= 3 AS stale_brief FROM s JOIN t USING (conv_id)""",
-    "chapter_packages": f"""WITH {ISSUES}, p AS (SELECT s.conv_id, s.turn, concat_ws('|', s.turn, left(s.text, 30), left(t.text, 30)) AS x FROM conversations s JOIN conversations t ON t.conv_id = s.conv_id AND t.turn = s.turn + 1 AND t.role = 'assistant' WHERE s.role = 'user'), g AS (SELECT conv_id AS chapter_id, count(*) AS sentence_count, md5(string_agg(x, '/' ORDER BY turn)) AS sentences FROM p GROUP BY 1), i AS (SELECT chapter_id, count(*) AS n, string_agg(issue_id::VARCHAR, ',' ORDER BY issue_id) AS ids FROM issues WHERE k > 97 GROUP BY 1)
+    "chapter_packages": f"""WITH {ISSUES}, p AS (SELECT s.conv_id, s.turn, concat_ws('|', s.turn, s.text, t.text) AS x FROM conversations s JOIN conversations t ON t.conv_id = s.conv_id AND t.turn = s.turn + 1 AND t.role = 'assistant' WHERE s.role = 'user'), g AS (SELECT conv_id AS chapter_id, count(*) AS sentence_count, md5(string_agg(x, '/' ORDER BY turn)) AS sentences FROM p GROUP BY 1), i AS (SELECT chapter_id, count(*) AS n, string_agg(issue_id::VARCHAR, ',' ORDER BY issue_id) AS ids FROM issues GROUP BY 1)
 SELECT chapter_id, sentence_count, coalesce(n, 0) AS issue_count, sentences, coalesce(ids, '') AS issues FROM g LEFT JOIN i USING (chapter_id)""",
     "merged_pages": f"""WITH {BLOCKS}, n AS (SELECT doc_id, ordinal, block_text AS title, lead(block_text) OVER (PARTITION BY doc_id ORDER BY ordinal) AS body FROM blocks), h AS (SELECT doc_id, '<nav><ol>' || string_agg('<li><a href="#c' || ordinal || '">' || {_safe('title')} || '</a></li>', '' ORDER BY ordinal) || '</ol></nav>' || string_agg('<section id="c' || ordinal || '"><h2>' || {_safe('title')} || '</h2><p>' || {_safe('body')} || '</p></section>', '' ORDER BY ordinal) AS html FROM n WHERE length(title) <= 60 GROUP BY doc_id)
 SELECT doc_id, length(html) AS size, md5(html) AS html FROM h""",

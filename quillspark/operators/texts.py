@@ -65,7 +65,7 @@ def common_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest string that the first words of a turn and of the next one share."""
     order = Window.partitionBy("conv_id").orderBy("turn")
     word = F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1))
-    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", word.alias("a"), F.lead(word).over(order).alias("b")).where("a != '' and b != '' and length(a) <= 64")
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", word.alias("a"), F.lead(word).over(order).alias("b")).where("a != '' and b != ''")
     return rows.select("conv_id", "turn", T.longest_common(F.col("a"), F.col("b")).alias("common"))
 
 
@@ -145,7 +145,7 @@ SELECT label, document_count, CASE WHEN regexp_full_match(label, '[0-9]+') THEN
 u AS (SELECT *, list_filter(regexp_extract_all(term, '[a-z][a-z0-9-]*'), lambda w: w NOT IN {T.STOPWORDS}) AS own, list_distinct(flatten(list_transform(regexp_extract_all(hay, '[a-z][a-z0-9-]*'), lambda w: {_FORMS}))) AS there FROM t)
 SELECT conv_id, turn, term FROM u WHERE contains(hay, term) OR (len(own) > 0 AND len(list_filter(own, lambda w: list_has_any({_FORMS}, there))) = len(own))""",
     "context_bridges": f"WITH {BLOCKS}, s AS (SELECT lang, {_SPACED} AS t FROM blocks) SELECT lang, count(*) AS block_count, count(*) FILTER (regexp_matches(lower(t), '^(?:{'|'.join(T.BRIDGES)})(?: |$)')) AS bridges, count(*) FILTER (t != '' AND (t[-1:] IN ({_continues}) OR t[-1:] NOT IN ({_ends}))) AS continuations FROM s GROUP BY lang",
-    "common_parts": """WITH w AS (SELECT conv_id, turn, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS a, lead(lower(regexp_extract(text, '^([A-Za-z]+)', 1))) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), g AS (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM w WHERE a != '' AND b != '' AND length(a) <= 64), k AS (SELECT *, unnest(range(1, length(a) - i + 2)) AS n FROM g),
+    "common_parts": """WITH w AS (SELECT conv_id, turn, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS a, lead(lower(regexp_extract(text, '^([A-Za-z]+)', 1))) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), g AS (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM w WHERE a != '' AND b != ''), k AS (SELECT *, unnest(range(1, length(a) - i + 2)) AS n FROM g),
 h AS (SELECT * FROM k WHERE contains(b, substr(a, i, n)) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, i) = 1)
 SELECT DISTINCT g.conv_id, g.turn, coalesce(substr(h.a, h.i, h.n), '') AS common FROM g LEFT JOIN h ON g.conv_id = h.conv_id AND g.turn = h.turn""",
     "fence_languages": f"""WITH {BLOCKS}, r AS (SELECT CASE event_id % 5 WHEN 0 THEN 'equation' WHEN 1 THEN 'table' ELSE 'code' END AS kind, props AS text FROM events UNION ALL SELECT 'code', block_text FROM blocks), b AS (SELECT kind, regexp_replace(coalesce(text, ''), '^\\s+', '') AS t FROM r)
