@@ -30,12 +30,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, by_bytes, mix, new_path, ragged, spans, text_bytes, written
+from .shared import LOWER, by_bytes, give_back, mix, new_path, ragged, spans, text_bytes, written
 from .sharding import with_prefix
 
 LONGEST = 5
 #: Bytes of text made into one stream.
-TEXT = 8 << 20
+TEXT = 4 << 20
 #: Words of a block of the vocabulary, and phrases of a trie.
 VOCABULARY, PHRASES = 1 << 20, 1 << 18
 #: Bytes that end a piece of text, and those between words.
@@ -43,6 +43,9 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
+#: Sums go through the shuffle in ranges of 2^RANGE keys, once a task holds KEYS of them.
+RANGE, KEYS = 15, 1 << 22
+PACKED = "part long, at binary, n binary"
 PLACES = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 _BLOCK: dict[str, dict[str, tuple[pa.Array, np.ndarray]]] = {}
@@ -74,6 +77,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             keys, n = np.unique(lang.astype(np.int64) * len(words) + word, return_counts=True)
             if len(keys):
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(keys // len(words))), words.take(pa.array(keys % len(words))).cast(pa.utf8()), pa.array(n)], ["lang", "word", "f"])
+            give_back()
 
     return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
@@ -113,6 +117,7 @@ def streams(docs: DataFrame, path: str, blocks: int) -> DataFrame:
             out = out[(out > 0) | (np.append(0, out[:-1]) > 0)]
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["ids"])
+            give_back()
 
     return docs.mapInArrow(run, "ids binary")
 
@@ -121,6 +126,7 @@ def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         for row in batch["ids"]:
             yield np.frombuffer(row.as_buffer(), np.int32)
+            give_back()
 
 
 def hashes(ids: np.ndarray) -> Iterator[np.ndarray]:
@@ -156,45 +162,115 @@ def alive(ids: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> Iterator[tup
             return
 
 
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def packed(counts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Keys and counts, summed up by about KEYS, as a row for each RANGE keys: places in it (16 bits) and counts (32 bits)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        keys, n = held[0]
+        part = keys >> RANGE
+        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+        at, n = (keys & (1 << RANGE) - 1).astype(np.uint16), n.astype(np.int32)
+        pieces = list(zip(cut[:-1], cut[1:], strict=True)) if len(keys) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]] if pieces else part), pa.array([at[i:j].tobytes() for i, j in pieces], pa.binary()), pa.array([n[i:j].tobytes() for i, j in pieces], pa.binary())], ["part", "at", "n"])
+
+    for x in counts:
+        held.append(x)
+        if sum(len(k) for k, _ in held) > KEYS:
+            held = [merged(held)]
+            if len(held[0][0]) > KEYS // 2:
+                yield from rows()
+                held = []
+    if held:
+        held = [merged(held)]
+        yield from rows()
+
+
+def summed(rows: DataFrame, take, schema: str) -> DataFrame:
+    """take(part, sums of its keys) of all rows of packed; a task holds the rows of a few parts at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << RANGE, np.int64)
+        for at, n in zip(table["at"], table["n"], strict=True):
+            total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.int32)
+        return take(table["part"][0].as_py(), total)
+
+    return rows.groupBy("part").applyInArrow(run, schema)
+
+
 def full_buckets(rows: DataFrame, bitmaps: list[np.ndarray], bits: int, least: int) -> np.ndarray:
     """The bits of buckets of phrases, one word longer than the last of bitmaps, with a sum of least or more."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in ids_of(batches):
-            *_, (_, found) = alive(ids, sent.value, bits)
-            buckets, n = np.unique(found >> np.uint64(64 - bits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(n)], ["bucket", "n"])
-
-    sums = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.col("bucket") + 1
-    parts = sums.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out, size = np.zeros(max(1 << bits - 3, 4096), np.uint8), 4096
-    for part, held in parts.collect():  # at most 2^bits bits in all
-        out[(part - 1) * size : part * size] = np.frombuffer(held, np.uint8)
+        def counts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for ids in ids_of(batches):
+                *_, (_, found) = alive(ids, sent.value, bits)
+                keys, n = np.unique(found >> np.uint64(64 - bits), return_counts=True)
+                yield keys.astype(np.int64), n
+
+        return packed(counts())
+
+    def take(part: int, total: np.ndarray) -> pa.Table:
+        return pa.table({"part": [part], "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
+
+    size = 1 << RANGE - 3
+    out = np.zeros(max(1 << bits - 3, size), np.uint8)
+    for part, held in summed(rows.mapInArrow(run, PACKED), take, "part long, bits binary").collect():  # 2^bits bits in all
+        out[part * size : (part + 1) * size] = np.frombuffer(held, np.uint8)
     sent.unpersist()
     return out
 
 
+def different(rows: np.ndarray) -> np.ndarray:
+    """The different ones of rows of 32-bit numbers."""
+    rows = np.ascontiguousarray(rows)
+    return np.unique(rows.view(f"V{rows.strides[0]}").ravel()).view(np.int32).reshape(-1, rows.shape[1])
+
+
 def candidates(rows: DataFrame, bitmaps: list[np.ndarray], bits: int) -> DataFrame:
-    """The phrases in full buckets, each once: w1 to w5, 0 behind the last word."""
+    """The phrases in full buckets, each once: w1 to w5, 0 behind the last word. A task sends what it has found in a row for
+    each range of buckets."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmaps)
 
+    def found_in(ids: np.ndarray) -> Iterator[np.ndarray]:
+        for m, (at, found) in enumerate(alive(ids, sent.value[:-1], bits), 2):
+            kept = full(found >> np.uint64(64 - bits), sent.value[m - 2])
+            at, found = at[kept], found[kept]
+            found, first, which = np.unique(found, return_index=True, return_inverse=True)
+            # of phrases with one hash and other words, all places are taken
+            other = np.zeros(len(at), bool)
+            for k in range(m):
+                other |= ids[at + k] != ids[at[first[which]] + k]
+            part = (np.concatenate([found, found[which[other]]]) >> np.uint64(64 - bits + RANGE)).astype(np.int32)
+            at = np.concatenate([at[first], at[other]])
+            yield np.stack([part, *[ids[at + k] if k < m else np.zeros(len(at), np.int32) for k in range(LONGEST)]], axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, 1 + LONGEST), np.int32)]
         for ids in ids_of(batches):
-            for m, (at, found) in enumerate(alive(ids, sent.value[:-1], bits), 2):
-                kept = full(found >> np.uint64(64 - bits), sent.value[m - 2])
-                at, found = at[kept], found[kept]
-                _, first, which = np.unique(found, return_index=True, return_inverse=True)
-                # of phrases with one hash and other words, all places are sent
-                other = np.zeros(len(at), bool)
-                for k in range(m):
-                    other |= ids[at + k] != ids[at[first[which]] + k]
-                at = np.concatenate([at[first], at[other]])
-                columns = [ids[at + k] if k < m else np.zeros(len(at), np.int32) for k in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], PLACES)
+            held += found_in(ids)
+            if sum(map(len, held)) > KEYS // 4:
+                held = [different(np.concatenate(held))]
+        held = different(np.concatenate(held))
+        if len(held):
+            cut = [0, *(np.flatnonzero(np.diff(held[:, 0])) + 1).tolist(), len(held)]
+            yield pa.RecordBatch.from_arrays([pa.array(held[cut[:-1], 0].astype(np.int64)), pa.array([held[i:j, 1:].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["part", "phrases"])
 
-    return rows.mapInArrow(run, ", ".join(f"{w} int" for w in PLACES)).distinct()
+    def gather(table: pa.Table) -> pa.Table:
+        every = different(np.concatenate([np.frombuffer(x.as_buffer(), np.int32).reshape(-1, LONGEST) for x in table["phrases"]]))
+        return pa.table({w: every[:, k] for k, w in enumerate(PLACES)})
+
+    return rows.mapInArrow(run, "part long, phrases binary").groupBy("part").applyInArrow(gather, ", ".join(f"{w} int" for w in PLACES))
 
 
 class Trie:
@@ -269,9 +345,9 @@ class Trie:
 
     def count(self, ids: np.ndarray) -> np.ndarray:
         """How often each state is reached, over all places of ids."""
-        words = np.append(self.symbols(ids), np.zeros(LONGEST, np.int64))
-        at, total = np.flatnonzero(words), np.zeros(len(self.base), np.int64)
-        state = np.zeros(len(at), np.int64)
+        words = np.append(self.symbols(ids), np.zeros(LONGEST, np.int32)).astype(np.int32)
+        at, total = np.flatnonzero(words).astype(np.int32), np.zeros(len(self.base), np.int64)
+        state = np.zeros(len(at), np.int32)
         for k in range(LONGEST):
             word = words[at + k]
             to = self.base[state] + word
@@ -283,8 +359,8 @@ class Trie:
         return total
 
 
-def counted(rows: DataFrame, phrases: np.ndarray, first: int) -> DataFrame:
-    """ordinal (from first) and f of sorted phrases."""
+def counted(rows: DataFrame, phrases: np.ndarray, first: int, least: int) -> DataFrame:
+    """ordinal (from first) and f of sorted phrases that occur least times or more."""
     sent = rows.sparkSession.sparkContext.broadcast(Trie(phrases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,9 +369,13 @@ def counted(rows: DataFrame, phrases: np.ndarray, first: int) -> DataFrame:
             total = total + trie.count(ids)
         if isinstance(total, np.ndarray):
             at = np.flatnonzero((trie.accepts >= 0) & (total > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(trie.accepts[at].astype(np.int64) + first), pa.array(total[at])], ["ordinal", "f"])
+            yield from packed(iter([(trie.accepts[at].astype(np.int64), total[at])]))
+
+    def take(part: int, total: np.ndarray) -> pa.Table:
+        at = np.flatnonzero(total >= least)
+        return pa.table({"ordinal": at + (part << RANGE) + first, "f": total[at]})
 
-    return rows.mapInArrow(run, "ordinal long, f long").groupBy("ordinal").agg(F.sum("f").alias("f"))
+    return summed(rows.mapInArrow(run, PACKED), take, "ordinal long, f long")
 
 
 def phrase_counts(rows: DataFrame, found: DataFrame, least: int) -> DataFrame:
@@ -304,7 +384,7 @@ def phrase_counts(rows: DataFrame, found: DataFrame, least: int) -> DataFrame:
     size, total, sums = PHRASES, found.count(), []
     for first in range(0, total, size):
         block = found.where((F.col("ordinal") >= first) & (F.col("ordinal") < first + size)).orderBy("ordinal").toArrow()
-        sums.append(written(counted(rows, np.stack([block[w].to_numpy() for w in PLACES], axis=1), first).where(F.col("f") >= least), "counts"))
+        sums.append(written(counted(rows, np.stack([block[w].to_numpy() for w in PLACES], axis=1), first, least), "counts"))
     if not sums:
         return found.select(F.array(*PLACES).alias("words"), F.lit(0).cast("long").alias("f")).limit(0)
     held = found.join(reduce(DataFrame.union, sums), "ordinal")
