@@ -12,6 +12,8 @@ ENDS = (".", "!", "?", ")", "]", '"', "'", "”", "’")
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "into", "is", "of", "on", "or", "the", "to", "with")
 PUNCTUATION = r"""[。！？；，、,.!?;:：\"'“”‘’（）()\\-]"""
 MARKUP = r"(</?[a-zA-Z][^>]*>)"
+#: Endings of plurals.
+PLURALS = (("ies", "y", 5), ("es", "", 5), ("s", "", 4))
 NUMERALS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 SEGMENTS = {"sentence": "sentence", "translation": "sentence", "text": "sentence", "merged_sentence": "merged_sentence", "merged-sentence": "merged_sentence", "paragraph": "merged_sentence", "heading": "heading", "title": "heading", "footnote": "footnote", "caption": "caption", "protected": "protected"}
 RELATIONS = {"1:1": "1:1", "one_to_one": "1:1", "one-to-one": "1:1", "1-1": "1:1", "1:n": "1:n", "one_to_many": "1:n", "one-to-many": "1:n", "1-n": "1:n", "n:1": "n:1", "many_to_one": "n:1", "many-to-one": "n:1", "n-1": "n:1", "protected": "protected"}
@@ -77,11 +79,11 @@ def page_number(label: Column) -> Column:
     return F.when(low.rlike("^[0-9]{1,9}$"), low.try_cast("int")).when(low.rlike("^[ivxlcdm]+$"), roman)
 
 
-def word_variants(word: Column) -> Column:
-    """The word in lower case and its possible singulars; an array."""
-    low, n = F.lower(word), F.length(word)
-    cut = lambda k: F.substring(low, F.lit(1), n - k)
-    return F.array_distinct(F.array_compact(F.array(low, F.when(low.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))), F.when(low.endswith("es") & (n > 4), cut(2)), F.when(low.endswith("s") & (n > 3), cut(1)))))
+def word_variants(word: Column, endings: tuple[tuple[str, str, int], ...] = PLURALS) -> Column:
+    """The word in lower case and its possible singulars, by endings: (ending, what stands for it, least letters); an array."""
+    low = F.lower(word)
+    changed = [F.when(low.endswith(end) & (F.length(low) >= least), F.concat(F.left(low, F.length(low) - len(end)), F.lit(new))) for end, new, least in endings]
+    return F.array_distinct(F.array_compact(F.array(low, *changed)))
 
 
 def concept_in(term: Column, text: Column) -> Column:
@@ -89,7 +91,7 @@ def concept_in(term: Column, text: Column) -> Column:
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("([a-z][a-z0-9-]*)"), F.lit(1))
     low, hay = F.lower(single_spaced(term)), F.lower(single_spaced(text))
     own = F.filter(words(low), lambda w: ~w.isin(*STOPWORDS))
-    there = F.array_distinct(F.flatten(F.transform(words(hay), word_variants)))
+    there = F.array_distinct(F.flatten(F.transform(words(hay), lambda w: word_variants(w))))
     return (low != "") & (F.contains(hay, low) | ((F.size(own) > 0) & F.forall(own, lambda w: F.arrays_overlap(word_variants(w), there))))
 
 
