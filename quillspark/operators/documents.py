@@ -70,13 +70,24 @@ def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("doc_id", "ordinal", kind.alias("block_type"), F.length("block_text").cast("long").alias("n_chars"), F.md5("block_text").alias("digest"))
 
 
+#: After an end of a sentence, maybe quoted, and a blank, before a capital or an opening mark; Chinese ends need no blank.
+SPLIT = r"""([.!?]["'”’)]*)\s+([\p{Lu}¿¡"“«(])"""
+CJK = r"([。！？])([^。！？”’])"
+
+
+def sentences_of(rows: DataFrame, text: str) -> DataFrame:
+    """rows with n and sentence for each sentence of a text in any language."""
+    marked = F.regexp_replace(F.regexp_replace(text, SPLIT, "$1\u0001$2"), CJK, "$1\u0001$2")
+    return rows.select("*", F.posexplode(F.split(marked, "\u0001")).alias("n", "sentence")).where("sentence != ''")
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English blocks split after . ! or ? before white space and a capital."""
-    rows = blocks(spark, sf_dir).where("lang = 'en'").select("doc_id", "ordinal", F.posexplode(F.split(F.regexp_replace("block_text", "([.!?]) +([A-Z])", "$1\u0001$2"), "\u0001")).alias("n", "sentence"))
-    return rows.where("sentence != ''")
+    """The sentences of all blocks, in any language."""
+    return sentences_of(blocks(spark, sf_dir), "block_text").select("doc_id", "ordinal", "n", "sentence")
 
 
-SENTENCES = BLOCKS + ", sentences AS (SELECT doc_id, ordinal, n::INT AS n, sentence FROM (SELECT doc_id, ordinal, unnest(range(len(a))) AS n, unnest(a) AS sentence FROM (SELECT doc_id, ordinal, string_split(regexp_replace(block_text, '([.!?]) +([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS a FROM blocks WHERE lang = 'en')) WHERE sentence != '')"
+_MARKED = f"regexp_replace(regexp_replace(block_text, '{SPLIT.replace(chr(39), chr(39) * 2)}', '\\1' || chr(1) || '\\2', 'g'), '{CJK}', '\\1' || chr(1) || '\\2', 'g')"
+SENTENCES = BLOCKS + f", sentences AS (SELECT doc_id, ordinal, n::INT AS n, sentence FROM (SELECT doc_id, ordinal, unnest(range(len(a))) AS n, unnest(a) AS sentence FROM (SELECT doc_id, ordinal, string_split({_MARKED}, chr(1)) AS a FROM blocks)) WHERE sentence != '')"
 
 
 def segment_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,17 +184,6 @@ def echoed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("before", F.lag(F.lower("text")).over(order)).where((F.length("text") >= 6) & (F.lower("text") == F.col("before"))).select("conv_id", "turn")
 
 
-#: After an end of a sentence, maybe quoted, and a blank, before a capital or an opening mark; Chinese ends need no blank.
-SPLIT = r"""([.!?]["'”’)]*)\s+([\p{Lu}¿¡"“«(])"""
-CJK = r"([。！？])([^。！？”’])"
-
-
-def sentences_of(rows: DataFrame, text: str) -> DataFrame:
-    """rows with n and sentence for each sentence of a text in any language."""
-    marked = F.regexp_replace(F.regexp_replace(text, SPLIT, "$1\u0001$2"), CJK, "$1\u0001$2")
-    return rows.select("*", F.posexplode(F.split(marked, "\u0001")).alias("n", "sentence")).where("sentence != ''")
-
-
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all languages: how many, and their characters."""
     return sentences_of(blocks(spark, sf_dir), "block_text").groupBy("lang").agg(F.count("*").alias("sentence_count"), F.sum(F.length("sentence")).alias("n_chars"), F.max(F.length("sentence")).cast("long").alias("longest"))
