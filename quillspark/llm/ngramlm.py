@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, buckets, give_back, hash_words, mix, ragged, spans, text_bytes
+from .shared import LOWER, SPACE, buckets, dealt, give_back, hash_words, mix, ragged, spans, text_bytes
 
 _U = np.uint64
 #: Bytes of text that a task gathers into one group of postings, and documents in it at most.
@@ -279,7 +279,7 @@ def scores(docs: DataFrame, share: float = 0.7, weight: float = 4.0) -> DataFram
         source = TaskContext.get().partitionId() << 24
         for ids, data, offsets in grouped(batches):
             t, use = Tokens(data, offsets), in_training(ids)
-            out = [(-1 - source % n, source, 0, small(blob(data)), small(blob(offsets))), (-1 - source % n, source, -1, blob(np.array(ids.fill_null(0).to_pylist(), np.int64)), blob(np.array(ids.is_null())))]
+            out = [(-1 - dealt(source, n), source, 0, small(blob(data)), small(blob(offsets))), (-1 - dealt(source, n), source, -1, blob(np.array(ids.fill_null(0).to_pylist(), np.int64)), blob(np.array(ids.is_null())))]
             for kind, here, keys, part, which in t.keys(n):
                 trained = np.bincount(which, use[t.row[here]], len(keys)).astype(np.uint32)
                 out += [(b, source, kind, small(blob(k) if kind == WORD else gaps(k)), small(blob(c))) for b, (k, c) in packed(part, n, [keys, trained])]

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .shared import buckets, by_bytes
+from .shared import buckets, by_bytes, written
 
 #: Pieces that one search for full bins chooses from; bounds its memory however many a task gets.
 WINDOW = 1 << 15
+#: Pieces that a task has at least, as the last sequence of each may stay short of its end.
+LEAST = 1 << 12
 #: Bytes of text encoded at once.
 TEXT = 16 << 20
 
@@ -104,7 +106,8 @@ def pack(cut: DataFrame, size: int) -> DataFrame:
     Rows are dealt by all their columns' hash, so that copies of a document spread, and each task packs its
     own by windows; a task leaves little padding in its last sequences alone.
     """
-    n = buckets(cut.sparkSession)
+    cut = written(cut, "pieces")
+    n = min(buckets(cut.sparkSession), max(1, cut.count() // LEAST))
     schema = f"{PIECES}, sequence_id long, offset long"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

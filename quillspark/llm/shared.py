@@ -152,6 +152,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def dealt(source: int, n: int) -> int:
+    """Which of n groups takes what only passes through from a source."""
+    return int(mix(np.array([source], np.uint64))[0] % _U(n))
+
+
 def prefix_hash(values: np.ndarray, seed: int = 7) -> np.ndarray:
     """Prefix sums, for each of two bases, from which span_hash gives the hash of any span of bytes (or of 64-bit values).
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import buckets, chunks, column, free_names, mix, prefix_hash, span_hash, text_bytes, written
+from .shared import buckets, chunks, column, dealt, free_names, mix, prefix_hash, span_hash, text_bytes, written
 
 _U = np.uint64
 #: Bytes of text that a task gathers before it sends its keys on, and documents among them at most.
@@ -262,7 +262,7 @@ def settled(docs: DataFrame, size: int, keys, seed: int, n: int) -> DataFrame:
             held = pa.BufferOutputStream()
             with about.new_stream(held, pa.schema([("spans", pa.binary())])) as w:
                 w.write_batch(pa.record_batch([pa.array(spans, pa.binary())], ["spans"]))
-            out.append((-1 - source % n, source, sink.getvalue().to_pybytes(), held.getvalue().to_pybytes(), b"", b"", b""))
+            out.append((-1 - dealt(source, n), source, sink.getvalue().to_pybytes(), held.getvalue().to_pybytes(), b"", b"", b""))
             yield record(out, KEYS)
             source += 1
 
