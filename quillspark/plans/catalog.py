@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import assembly, briefs, bundles, chapters, decisions, documents, figures, layout, lifecycle, packets, progress, recovery, repairs, review, rules, sketches, structure, texts, wholes
+from quillspark.operators import assembly, briefs, bundles, chapters, decisions, documents, figures, layout, lifecycle, packets, progress, recovery, repairs, review, rules, sketches, structure, termbase, texts, wholes
 from quillspark.sinks import assets, exports, migrate, patches, sidecars
 from quillspark.sources import web
 from quillspark.streaming import activity, leases
 
-MODULES = (review, documents, packets, progress, structure, rules, texts, decisions, layout, bundles, briefs, chapters, figures, assembly, recovery, wholes, sketches, lifecycle, repairs, web, assets, exports, migrate, patches, sidecars, activity, leases)
+MODULES = (review, documents, packets, progress, structure, rules, texts, decisions, layout, bundles, briefs, chapters, figures, assembly, recovery, wholes, sketches, termbase, lifecycle, repairs, web, assets, exports, migrate, patches, sidecars, activity, leases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
