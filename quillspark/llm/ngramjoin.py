@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngramlm import grouped
-from .shared import buckets, hash_words, joined_by_key, mix, ragged, spans, written
+from .shared import buckets, frugal, give_back, hash_words, joined_by_key, mix, ragged, spans, written
 
 _U = np.uint64
 BLOCKS = "bucket int, docs binary, row binary, sizes binary, shingles binary"
@@ -72,6 +72,8 @@ def incidence(docs: DataFrame, k: int, n: int) -> DataFrame:
                     # 48 bits and the bucket tell shingles apart
                     out.append((b, numbers[own].tobytes(), b"", size.astype(np.uint32).tobytes(), np.ascontiguousarray((c >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "docs", "row", "sizes", "shingles"])
+            del ids, data, offsets, numbers, row, code, bucket, order, out
+            give_back()
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(cut, BLOCKS)
 
@@ -131,8 +133,8 @@ def shared_sets(blocks: DataFrame, least: float, n: int) -> DataFrame:
         sets = [code[i:j].tobytes() if j - i and j - i >= least * t - 1e-9 else None for i, j, t in zip(at[:-1].tolist(), at[1:].tolist(), total.tolist(), strict=True)]
         return pa.table([pa.array(ids), pa.array(total), pa.array(sets, pa.binary())], names=["doc_id", "n_shingles", "shingles"])
 
-    rows = blocks.groupBy("bucket").applyInArrow(meet, ROWS)
-    return rows.groupBy("part").applyInArrow(gather, SETS)
+    rows = blocks.groupBy("bucket").applyInArrow(frugal(meet), ROWS)
+    return rows.groupBy("part").applyInArrow(frugal(gather), SETS)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -170,6 +172,8 @@ def firsts(classes: DataFrame, percent: int) -> DataFrame:
                 sizes.append(np.full(len(own), size))
                 places.append(alone + np.arange(len(own)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in (codes, nodes, sizes, places)], ["shingle", "node", "size", "place"])
+            del codes, nodes, sizes, places
+            give_back()
 
     return classes.select("node", "size", "shingles").mapInArrow(head, "shingle long, node long, size long, place long")
 
@@ -187,6 +191,7 @@ def linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= percent * (m + n - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            give_back()
 
     one = classes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("shingles").alias("sa"))
     two = classes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shingles").alias("sb"))

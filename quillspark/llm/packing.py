@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .shared import buckets, by_bytes, written
+from .shared import buckets, by_bytes, give_back, written
 
 #: Pieces that one search for full bins chooses from; bounds its memory however many a task gets.
 WINDOW = 1 << 15
 #: Pieces that a task has at least, as the last sequence of each may stay short of its end.
 LEAST = 1 << 12
 #: Bytes of text encoded at once.
-TEXT = 16 << 20
+TEXT = 4 << 20
 
 
 def fill(left: np.ndarray, capacity: int, first: int) -> list[tuple[int, int]]:
@@ -96,6 +96,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFram
                 rows += [(doc, s, min(size, len(own) - s), zlib.crc32(own[s : s + size]), len(own)) for s in range(0, len(own), size)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            del ids, rows
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -130,8 +132,11 @@ def pack(cut: DataFrame, size: int) -> DataFrame:
                 if rows >= WINDOW:
                     yield done()
                     held, rows = [], 0
+                    give_back()
         if rows:
             yield done()
+        held = []
+        give_back()
 
     return cut.repartition(n, F.xxhash64("doc_id", "start", "ids_crc32")).mapInArrow(packed, schema)
 

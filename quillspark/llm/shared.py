@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
@@ -202,6 +202,18 @@ def give_back() -> None:
         pass
 
 
+def frugal(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f for groups; what it frees is given back after each."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return f(group)
+        finally:
+            give_back()
+
+    return run
+
+
 def chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Runs of rows [i, j) of about size bytes each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import buckets, chunks, column, dealt, free_names, mix, prefix_hash, span_hash, text_bytes, written
+from .shared import buckets, chunks, column, dealt, free_names, frugal, give_back, mix, prefix_hash, span_hash, text_bytes, written
 
 _U = np.uint64
 #: Bytes of text that a task gathers before it sends its keys on, and documents among them at most.
@@ -265,6 +265,8 @@ def settled(docs: DataFrame, size: int, keys, seed: int, n: int) -> DataFrame:
             out.append((-1 - dealt(source, n), source, sink.getvalue().to_pybytes(), held.getvalue().to_pybytes(), b"", b"", b""))
             yield record(out, KEYS)
             source += 1
+            del t, data, offsets, row, pos, one, two, out, repeated, lengths, sink, low, high, r, spans, held
+            give_back()
 
     def back(group: pa.Table) -> pa.Table:
         row, pos, mark = [], [], []
@@ -288,8 +290,8 @@ def settled(docs: DataFrame, size: int, keys, seed: int, n: int) -> DataFrame:
         found = pa.table([about["doc_id"], about["row"], pa.array(spans, pa.binary()), pa.array(ends, pa.binary())], names=["doc_id", "row", "spans", "near"])
         return found.filter(pa.compute.or_(pa.compute.is_valid(found["spans"]), pa.compute.is_valid(found["near"])))
 
-    rows = docs.mapInArrow(send, KEYS).groupBy("deal").applyInArrow(lambda t: meet(t, seed < size), MARKS)
-    return rows.groupBy("source").applyInArrow(back, SPANS)
+    rows = docs.mapInArrow(send, KEYS).groupBy("deal").applyInArrow(frugal(lambda t: meet(t, seed < size)), MARKS)
+    return rows.groupBy("source").applyInArrow(frugal(back), SPANS)
 
 
 def cut(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
@@ -322,6 +324,8 @@ def cut(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
             more = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64()] * 3 + [pa.string()], strict=True)]
             yield pa.RecordBatch.from_arrays(columns + more, [*names, *dict(added)])
+            del texts, out, columns, more
+            give_back()
 
     return rows.mapInArrow(remove, T.StructType(fields + [T.StructField(n, k) for n, k in added]))
 
